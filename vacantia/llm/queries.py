@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import locations, survivors
+from vacantia.llm import locations, pii, survivors
 from vacantia.tables import read
 
 
@@ -32,5 +32,15 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("location_id = 0").select("location", "n")
 
 
-QUERIES = {"p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(read(spark, sf_dir, "job_postings"), read(spark, sf_dir, "source_messages"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with placeholders."""
+    rows = pii.texts(read(spark, sf_dir, "job_postings"), read(spark, sf_dir, "source_messages"))
+    return rows.select("source_table", "row_key", pii.redacted("text").alias("redacted_text"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 ORACLE: dict[str, str] = {}
