@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.tables import cut_lineage
+
 # Legal forms, words of trades, their usual short forms, and remarks that aren't part of a name.
 LEGAL = {"ltd", "limited", "llc", "llp", "inc", "incorporated", "gmbh", "sa", "bv", "nv", "ag", "kg", "plc", "corp", "corporation", "co", "company", "pty", "pte", "pvt", "oy", "ab", "as", "srl", "spa", "sarl", "sas", "ug", "se", "lp"}
 TRADES = ("analytics", "consulting", "education", "energy", "group", "holdings", "industries", "insurance", "international", "laboratories", "logistics", "manufacturing", "media", "medical", "networks", "partners", "payments", "robotics", "security", "services", "software", "solutions", "systems", "technologies", "ventures")
@@ -36,7 +38,7 @@ SHORT = {"grp": "group", "hldgs": "holdings", "intl": "international", "labs": "
 USELESS = {"", "n a", "na", "none", "null", "nil", "unknown", "confidential", "private", "company", "a company", "employer", "undisclosed", "tbd", "tba", "various", "self employed", "freelance", "a growing company", "growing company", "our client", "client", "stealth", "stealth startup", "startup", "a startup", "not specified", "see ad", "test", "x", "xx", "xxx", "hidden", "anonymous", "company name", "name withheld", "leading company", "a leading company", "hiring company", "recruiter", "agency", "hr", "hiring"}
 JOINERS = {"the", "and", "a", "und", "et", "y"}
 REMARKS = re.compile(r"\[[^\]]*\]|\((?:hq|hiring|careers?|ltd\.?|inc\.?|llc|gmbh|group hq|we.?re hiring)\)|\br\s*&\s*d(?:\s+cent(?:er|re))?|/?\s*talent\s+team|\b(?:careers?|jobs|hiring|recruiting|recruitment|talent acquisition|hr)\b", re.I)
-WITH_ACRONYM = re.compile(r"^\s*([A-Za-z]{2,7})\s*\(\s*([^()]+?)\s*\)\s*$")
+WITH_ACRONYM = re.compile(r"^\s*([A-Za-z]{2,7})[\s_-]*\(\s*([^()]+?)\s*\)\s*$")
 ALONE = re.compile(r"^[A-Z]{2,6}$")
 VOWELS = set("aeiou")
 
@@ -57,6 +59,11 @@ def near(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
 
 
+def _within(word: str, whole: str) -> bool:
+    rest = iter(whole)
+    return all(c in rest for c in word)
+
+
 def trade(word: str, dotted: bool) -> str | None:
     """The trade word that a word is, abbreviates or misspells."""
     if word in TRADES:
@@ -67,11 +74,12 @@ def trade(word: str, dotted: bool) -> str | None:
         fits = [t for t in TRADES if t.startswith(word)]
         if len(fits) == 1 or fits and len(word) >= 4:
             return min(fits, key=len)
-    if 3 <= len(word) <= 6 and sum(c in VOWELS for c in word) <= 1:
-        bare = lambda t: t[0] + "".join(c for c in t[1:] if c not in VOWELS)
-        fits = [t for t in TRADES if bare(t) == word[0] + "".join(c for c in word[1:] if c not in VOWELS)]
-        if len(fits) == 1:
-            return fits[0]
+    if len(word) >= 3:
+        # Letters left out: the trade word of which the most is left, at least half (less if only consonants are left).
+        least = 0.4 if not VOWELS & set(word[1:]) else 0.5 if len(word) >= 4 else 1
+        fits = [(len(word) / len(t), t) for t in TRADES if t[0] == word[0] and len(word) >= least * len(t) and _within(word, t)]
+        if fits:
+            return max(fits)[1]
     if len(word) >= 5:
         fits = [t for t in TRADES if near(word, t)]
         if len(fits) == 1:
@@ -83,7 +91,7 @@ def parse(name: str) -> dict | None:
     """The words of a name by role, or None where it names nobody."""
     if len(name) > 400:
         return {"rest": [name.strip().casefold()], "order": [], "trades": [], "acronym": "", "alone": False}
-    plain = fold(name)
+    plain = re.sub(r"['’`]", "", fold(name))
     whole = re.sub(r"[^\w]+|_+", " ", plain.casefold()).strip()
     if whole in USELESS or not re.search(r"[^\W\d_]", whole):
         return None
@@ -140,6 +148,11 @@ def _cut(word: str, dotted: bool) -> tuple[str, list[str]]:
         return word, found
 
 
+def _left_out(word: str) -> list[str]:
+    """A word alone, and with one letter left out."""
+    return [f"C{word}", f"E{word}"] + ([f"E{word[:i]}{word[i + 1 :]}" for i in range(len(word))] if len(word) >= 6 else [])
+
+
 def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
     """Key, forms with a letter left out, forms by which shorter names may find this one, forms by which it finds longer ones."""
     rest, tail = sorted(set(p["rest"])), "#" + "+".join(p["trades"])
@@ -147,7 +160,7 @@ def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
     if p["acronym"] or p["alone"]:
         if p["alone"]:
             return key, [], [], [f"B{rest[0]}"]
-        return key, [], [], [f"A{p['acronym']}|{c}" for c in rest] + [f"C{c}" for c in rest]
+        return key, [], [], [f"A{p['acronym']}|{c}" for c in rest] + [f for c in rest for f in _left_out(c)]
     typing, offers, asks = set(), set(), set()
     for k, w in enumerate(rest):
         others = "|".join(rest[:k] + rest[k + 1 :]) + tail
@@ -162,21 +175,20 @@ def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
             offers |= {f"N{w[:-n]}|{others}" for n in (3, 4) if len(w) - n >= 4}
         if len(rest) > 1 and len(w) > 1:
             offers.add(f"M{w[0]}|{others}")
-    full = bool(p["trades"]) or len(rest) > 1
+    full = (bool(p["trades"]) or len(rest) > 1) and all(len(w) > 1 for w in rest)
     if full:
-        words = [w for w in p["order"]]
-        initials = "".join(w[0] for w in words)
+        initials = "".join(w[0] for w in p["order"])
         for w in rest:
             if len(w) >= 5:
-                offers |= {f"C{w}", f"A{initials}|{w}"}
+                offers |= {f"A{initials}|{w}", *_left_out(w)}
         offers.add(f"B{initials}")
-        named = [w for w in p["rest"]]
-        if len(named) == 2:
-            offers |= {f"J{a}{j}{b}{tail}" for a, b in (named, named[::-1]) for j in ("", "and")}
+        if len(p["rest"]) == 2:
+            one, two = p["rest"]
+            offers |= {f"J{a}{j}{b}{tail}" for a, b in ((one, two), (two, one)) for j in ("", "and")}
     if len(rest) == 1:
         asks.add(f"J{rest[0]}{tail}")
         if not p["trades"]:
-            asks.add(f"C{rest[0]}")
+            asks |= set(_left_out(rest[0]))
     return key, sorted(typing), sorted(offers), sorted(asks)
 
 
@@ -189,13 +201,13 @@ def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 #: Which kinds of form win, and whether the form may be shared by several keys.
-RANK = {"N": 0, "M": 1, "J": 2, "A": 3, "C": 4, "B": 5}
+RANK = {"N": 0, "M": 1, "J": 2, "A": 3, "C": 4, "E": 5, "B": 6}
 
 
 def employers(names: DataFrame) -> DataFrame:
     """(name, employer) for a frame with one column ``name``; ``employer`` is the root key."""
     seen = names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
-    known = seen.select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*").filter(F.col("key").isNotNull())
+    known = cut_lineage(seen.select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*").filter(F.col("key").isNotNull()))
     # The order of words and so the acronym may differ between names of one key: all their forms count.
     keys = known.groupBy("key").agg(F.sum("n").alias("weight"), F.first("typing").alias("typing"))
     offers = known.select("key", F.explode("offers").alias("form")).distinct()
@@ -211,18 +223,25 @@ def employers(names: DataFrame) -> DataFrame:
     again = right.select(F.col("key").alias("corrected"), F.col("corrected").alias("twice"))
     step = step.join(again, "corrected", "left").select("key", "weight", F.coalesce("twice", "corrected").alias("base"))
 
-    # Shortenings: among corrected keys, by the rarest form.
+    # Shortenings that keep most of a name, then those that keep one word or none: by the rarest form.
+    step = _shortened(step, offers, asks, "NMJ")
+    step = _shortened(step, offers, asks, "ACEB")
+    return known.select("name", "key").join(step.select("key", F.col("base").alias("employer")), "key").select("name", "employer")
+
+
+def _shortened(step: DataFrame, offers: DataFrame, asks: DataFrame, kinds: str) -> DataFrame:
+    """``step`` (key, weight, base) with each base replaced by the longer one that its forms of these kinds find."""
+    kind = F.substring("form", 1, 1)
     base_weight = step.groupBy("base").agg(F.sum("weight").alias("weight"))
-    offered = offers.join(step.select("key", "base"), "key").select("form", "base").distinct().join(base_weight, "base")
+    offered = offers.filter(kind.isin(*kinds)).join(step.select("key", "base"), "key").select("form", "base").distinct().join(base_weight, "base")
     rare = offered.groupBy("form").agg(F.count("*").alias("shared"), F.max(F.struct("weight", "base")).alias("top"))
-    asked = asks.join(step.select("key", "base"), "key").select("form", F.col("base").alias("asker")).distinct()
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.substring("form", 1, 1))
-    hits = asked.join(rare, "form").filter((F.col("top.base") != F.col("asker")) & ((F.col("shared") == 1) | (F.substring("form", 1, 1) == "N")))
+    asked = asks.filter(kind.isin(*kinds)).join(step.select("key", "base"), "key").select("form", F.col("base").alias("asker")).distinct()
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), kind)
+    hits = asked.join(rare, "form").filter((F.col("top.base") != F.col("asker")) & ((F.col("shared") == 1) | (kind == "N")))
     longer = hits.groupBy("asker").agg(F.min(F.struct(rank.alias("rank"), F.col("shared"), (-F.col("top.weight")).alias("w"), F.col("top.base").alias("b")))["b"].alias("longer"))
     up = longer.select(F.col("asker").alias("longer"), F.col("longer").alias("longest"))
-    roots = step.select("key", "base").join(longer.withColumnRenamed("asker", "base"), "base", "left").join(up, "longer", "left")
-    roots = roots.select("key", F.coalesce("longest", "longer", "base").alias("employer"))
-    return known.select("name", "key").join(roots, "key").select("name", "employer")
+    moved = step.join(longer.withColumnRenamed("asker", "base"), "base", "left").join(up, "longer", "left")
+    return cut_lineage(moved.select("key", "weight", F.coalesce("longest", "longer", "base").alias("base")))
 
 
 def names_of(jobs: DataFrame, normalized: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import locations, pii, survivors
+from vacantia.llm import employers, locations, pii, survivors
 from vacantia.tables import read
 
 
@@ -42,5 +42,16 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_table", "row_key", pii.redacted("text").alias("redacted_text"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return employers.found(read(spark, sf_dir, "jobs"), read(spark, sf_dir, "normalized_jobs"))
+
+
+def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the key of its employer and the number of spellings that employer has."""
+    linked = employers.employers(employers.names_of(read(spark, sf_dir, "jobs"), read(spark, sf_dir, "normalized_jobs")))
+    sizes = linked.groupBy("employer").agg(F.count("*").alias("spellings"))
+    return linked.join(sizes, "employer").select("name", "employer", "spellings")
+
+
+QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 ORACLE: dict[str, str] = {}
