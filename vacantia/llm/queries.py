@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import employers, locations, pii, survivors
+from vacantia.llm import boilerplate, employers, layout, locations, mixing, packing, pii, residue, survivors, truncation
 from vacantia.tables import read
 
 
@@ -53,5 +53,44 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.join(sizes, "employer").select("name", "employer", "spellings")
 
 
-QUERIES = {"p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    details = read(spark, sf_dir, "job_details")
+    return boilerplate.found(details, residue.found(details))
+
+
+def p3_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of each page, and its main body."""
+    rows = read(spark, sf_dir, "job_details").filter("description_text is not null")
+    return rows.select("job_id", layout.rendered("description_text").alias("visible_text"), boilerplate.main_body("description_text").alias("main_text"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.found(read(spark, sf_dir, "job_details"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.found(read(spark, sf_dir, "documents"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(read(spark, sf_dir, "documents"))
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pack_sizes"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(p8_packed(spark, sf_dir), read(spark, sf_dir, "pack_sizes"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(*mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_found": p3_found, "p3_rendered": p3_rendered, "p5_found": p5_found, "p10_found": p10_found, "p10_rates": p10_rates, "p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 ORACLE: dict[str, str] = {}

@@ -20,13 +20,17 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.tables import cut_lineage
+
 # Marks and links that may follow a cut.
 MARK = re.compile(r"(?:\s*(?:\[(?:…|\.\.\.)\]|\((?:more|mehr|suite|más|continued)\)|(?:…|\.\.\.)?\s*(?:Show|Read|See) more\.?|…|\.\.\.))+\s*$")
 LINK = re.compile(r"\n\s*(?:[^\W\d_][\w ]{0,20}[:>-]\s*)?https?://\S+\s*$")
@@ -34,24 +38,30 @@ INLINE_LINK = re.compile(r"\s+https?://\S+\s*$")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_a-z])")
 ENDING = (".", "!", "?", ".)", "!)", "?)", ":", ".\"", ".”")
 BULLET = re.compile(r"^\s*(?:[-*•▪]|\d+[.)])\s+")
-ODDS = 0.0
-
-PARTS = T.ArrayType(T.StructType([T.StructField("start", T.StringType()), T.StructField("context", T.StringType()), T.StructField("short", T.StringType()), T.StructField("word", T.StringType()), T.StructField("stop", T.BooleanType()), T.StructField("last", T.BooleanType())]))
+#: The log odds above which a text counts as cut.
+LEAST_ODDS = 0.0
 
 
 def tokens(stretch: str) -> list[str]:
     """Words with their punctuation; numbers and names of things are classes."""
     out = []
     for k, w in enumerate(stretch.split()):
+        if not k and w in {"-", "*", "•", "▪"}:
+            out.append("•")
+            continue
         w = re.sub(r"\d+(?:[.,]\d+)*", "0", w)
         if k and w[:1].isupper():
-            w = "X" + re.sub(r"[\w+#]", "", w)
+            w = "X" + re.sub(r"[\w+#-]", "", w)
         out.append(w)
     return out
 
 
-def last_stretch(text: str) -> tuple[str, bool, bool]:
-    """The last sentence or line without what may follow a cut, whether it opens a line, whether a mark followed."""
+def bare(word: str) -> str:
+    return word.strip(".,;:!?()[]*\"'“”…").casefold()
+
+
+def split_end(text: str) -> tuple[str, str, bool]:
+    """The text without its last stretch, the last sentence or line, and whether a mark of a cut followed it."""
     body, marked = text.rstrip(), False
     for _ in range(3):
         cut = LINK.sub("", body)
@@ -64,12 +74,149 @@ def last_stretch(text: str) -> tuple[str, bool, bool]:
             break
         body = cut
     line = body.rsplit("\n", 1)[-1]
-    parts = SENTENCE.split(line)
-    return parts[-1].strip(), len(parts) == 1, marked
+    last = SENTENCE.split(line)[-1].strip()
+    return body[: len(body) - len(last)], last, marked
+
+
+def complete(stretch: str) -> bool:
+    """Whether a stretch ends the way only complete ones do: with a full stop, a sign that isn't a word, or as hashtags."""
+    return stretch.endswith(ENDING) or stretch.startswith("#") or not (stretch[-1:].isalnum() or stretch[-1:] in "+#-/&,'’…")
+
+
+def stretches(text: str) -> list[str]:
+    return [s.strip() for line in text.split("\n") for s in SENTENCE.split(line) if s.strip()]
+
+
+def context(t: list[str], k: int) -> str:
+    """The three words up to number k, those of list items apart."""
+    return ("• " if t[0] == "•" else "") + " ".join(t[max(0, k - 2) : k + 1])
+
+
+def outline(t: list[str]) -> str:
+    """How a stretch begins and ends."""
+    return " ".join([*t[:2], "…", *t[-3:]])
+
+
+def last_keys(stretch: str) -> dict[str, str]:
+    """The keys under which the counts of a last stretch are found."""
+    t = tokens(stretch) or [""]
+    here = context(t, len(t) - 1)
+    return {"S": " ".join(t[:2]), "E": here, "M": here, "W": bare(stretch.split()[-1]) if stretch.split() else "", "L": outline(t)}
+
+
+def count_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts over all texts, added up within each batch before the shuffle: how stretches begin and whether they end with
+    a full stop (S, P), their last three words (E), three words before others (M), words before others (W), outlines of last stretches (L)."""
+    for pdf in frames:
+        n: Counter[str] = Counter()
+        for text in pdf["text"]:
+            if not isinstance(text, str) or not text.strip():
+                continue
+            before, last, _ = split_end(text)
+            for s in stretches(before):
+                t = tokens(s)
+                stop = s.endswith(ENDING)
+                for start in {" ".join(t[:2]), t[0]}:
+                    n["S" + start] += 1
+                    n["P" + start] += stop
+                n["E" + context(t, len(t) - 1)] += 1
+                n.update("M" + context(t, k) for k in range(len(t) - 1))
+                n.update("W" + bare(w) for w in s.split())
+            t, words = tokens(last), last.split()
+            for k in range(len(t) - 1):
+                n["M" + context(t, k)] += 1
+                n["W" + bare(words[k])] += 1
+            if complete(last) and words:
+                n["W" + bare(words[-1])] += 1
+            if t:
+                n["L" + outline(t)] += 1
+        yield pd.DataFrame({"k": list(n), "n": list(n.values())}, columns=["k", "n"])
+
+
+ENDS = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("marked", T.BooleanType()), T.StructField("body", T.LongType()), T.StructField("keys", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(ENDS)
+def ends(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Whether each text closes, whether a mark follows, the length before marks, and the keys of its last stretch."""
+    for s in batches:
+        rows = []
+        for text in s:
+            before, last, marked = split_end(text)
+            k = last_keys(last)
+            rows.append((complete(last), marked, len(before) + len(last), ["S" + k["S"], "P" + k["S"], "E" + k["E"], "M" + k["M"], "W" + k["W"], "L" + k["L"]]))
+        yield pd.DataFrame(rows, columns=["closed", "marked", "body", "keys"])
+
+
+def fit_censored(hist: pd.DataFrame, rounds: int = 12, least: int = 8, ratio: float = 6.0) -> pd.DataFrame:
+    """The limits of one source and the posterior that a text of that length was cut, from its lengths (length, n).
+
+    A candidate limit holds at least ``least`` texts and ``ratio`` times the mean of the lengths within 32 of it. The log
+    lengths are normal, right-censored at the candidates: expectation and maximisation with the mean and variance of the
+    truncated tail. The posterior is the share of a candidate's texts beyond the fitted density.
+    """
+    hist = hist[hist["length"] > 0]
+    length, n = hist["length"].to_numpy(float), hist["n"].to_numpy(float)
+    order = np.argsort(length)
+    length, n = length[order], n[order]
+    total = np.concatenate([[0], np.cumsum(n)])
+    low, high = np.searchsorted(length, length - 32), np.searchsorted(length, length + 32, side="right")
+    around = (total[high] - total[low] - n) / 64
+    spike = (n >= least) & (n >= ratio * np.maximum(around, 0.25))
+    x = np.log(length)
+    mean, var = np.average(x, weights=n), max(np.cov(x, fweights=n.astype(int)) if n.sum() > 1 else 1.0, 1e-3)
+    for _ in range(rounds if spike.any() else 0):
+        sd = math.sqrt(var)
+        z = (x - mean) / sd
+        tail = np.maximum(0.5 * np.array([math.erfc(v / math.sqrt(2)) for v in z]), 1e-9)
+        hazard = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) / tail
+        first = np.where(spike, mean + sd * hazard, x)
+        second = np.where(spike, var * (1 + z * hazard - hazard**2) + (mean + sd * hazard) ** 2, x * x)
+        mean = np.average(first, weights=n)
+        var = max(np.average(second, weights=n) - mean**2, 1e-3)
+    density = np.exp(-((x - mean) ** 2) / (2 * var)) / math.sqrt(2 * math.pi * var) / length * n.sum()
+    expected = np.minimum(np.maximum(density, around), n)
+    out = pd.DataFrame({"length": length.astype("int64"), "posterior": np.clip(1 - expected / n, 0.0, 1.0)})
+    return out[spike & (out["posterior"].to_numpy() > 0)]
+
+
+def limits(docs: DataFrame) -> DataFrame:
+    """(source, body, posterior) from the lengths of all texts; a source's histogram is as long as its longest text at most."""
+    hist = docs.groupBy(F.coalesce("source", F.lit("")).alias("source"), F.col("body").alias("length")).agg(F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fit_censored(pdf).assign(source=pdf["source"].iloc[0])[["source", "length", "posterior"]]
+
+    return hist.groupBy("source").applyInPandas(fit, "source string, length bigint, posterior double").withColumnRenamed("length", "body")
+
+
+def judged(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, cut, odds, posterior): one row for each row with text."""
+    texts = documents.select("doc_id", "source", "text").filter(F.col("text").rlike(r"(?U)\S"))
+    counts = texts.select("text").mapInPandas(count_keys, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    docs = cut_lineage(texts.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), ends("text").alias("e")).select("doc_id", "source", "h", "e.*"))
+    keyed = docs.filter(~F.col("closed")).select("doc_id", "h", F.explode("keys").alias("k")).distinct()
+    found_counts = keyed.join(counts, "k").groupBy("doc_id", "h").agg(*(F.coalesce(F.max(F.when(F.substring("k", 1, 1) == c, F.col("n"))), F.lit(0)).alias(c) for c in "SPEMWL"))
+    rows = docs.drop("keys").join(found_counts, ["doc_id", "h"], "left").join(limits(docs), ["source", "body"], "left").fillna(0, list("SPEMWL")).fillna(0.0, ["posterior"])
+    unknown = F.when(F.col("W") == 0, 3.0).otherwise(0.0)
+    line_end = F.log((F.col("M") + 0.5) / (F.col("E") + 0.5))  # a phrase that always goes on, or never does
+    ending = (
+        F.when(F.col("closed"), -8.0)
+        .when((F.col("S") >= 2) & (F.col("P") >= 0.5 * F.col("S")), 2.0 + F.log((F.col("P") + 0.5) / (F.col("S") - F.col("P") + 0.5)) + unknown)
+        .when((F.col("S") < 2) & (F.col("L") >= 3), -F.log(F.col("L").cast("double")) - 1.0)
+        .when(F.col("E") > 0, line_end - 1.0)
+        .otherwise(line_end + unknown)
+    )
+    prior = F.log((F.col("posterior") + 0.02) / (1.02 - F.col("posterior"))) + F.when(F.col("marked"), 3.0).otherwise(0.0)
+    odds = ending + F.least(F.greatest(prior + 3.0, F.lit(0.0)), F.lit(3.0))
+    return rows.select("doc_id", F.nullif("source", F.lit("")).alias("source"), (odds > LEAST_ODDS).alias("cut"), odds.alias("odds"), "posterior")
+
+
+def found(documents: DataFrame) -> DataFrame:
+    """p10_found: distinct documents whose text was cut."""
+    return judged(documents).filter("cut").select("doc_id").distinct()
 
 
-def describe(stretch: str) -> tuple[str, str, str, str]:
-    """How a stretch begins, its last three words, its last two, and the last one as it stands."""
-    t = tokens(stretch)
-    start = " ".join(t[:2])
-    return start, " ".join(t[-3:]), " ".join(t[-2:]), stretch.split()[-1] if t else ""
+def rates(documents: DataFrame) -> DataFrame:
+    """How often each source cuts its texts."""
+    return judged(documents).groupBy("source").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
