@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.plans import dates
+from vacantia.plans import dates, keyed, searching, texts
 
-MODULES = [dates]
+MODULES = [dates, searching, texts, keyed]
 
 
 def queries() -> dict:
