@@ -60,6 +60,25 @@ def furniture(text: str) -> bool:
     return bool(COOKIES.search(line)) and not PITCH.match(line)
 
 
+#: What lines are by themselves, by line; bounded, and only saves time: most lines of a site stand on all its pages.
+_kinds: dict[str, str] = {}
+KEEP_LINES = 300_000
+
+
+def kind(line: str) -> str:
+    """``section`` (a heading of other vacancies), ``furniture``, ``job`` (another vacancy), ``role`` or empty."""
+    out = _kinds.get(line)
+    if out is None:
+        if len(_kinds) > KEEP_LINES:
+            _kinds.clear()
+        if furniture(line):
+            out = "section" if line.casefold().strip(" .:!…") in SECTIONS else "furniture"
+        else:
+            out = "job" if OTHER_JOB.match(line) else "role" if PLAIN_ROLE.match(line) else ""
+        _kinds[line] = out
+    return out
+
+
 def outside(source: str) -> list[int]:
     """The source lines of a page that aren't vacancy."""
     out, listing = [], False
@@ -67,10 +86,11 @@ def outside(source: str) -> list[int]:
         line = text.strip()
         if not line:
             continue
-        if furniture(line):
-            listing = line.casefold().strip(" .:!…") in SECTIONS
+        is_a = kind(line)
+        if is_a == "job" or is_a == "role" and listing:
             out.append(number)
-        elif OTHER_JOB.match(line) or listing and PLAIN_ROLE.match(line):
+        elif is_a in ("section", "furniture"):
+            listing = is_a == "section"
             out.append(number)
         else:
             listing = False
@@ -95,7 +115,8 @@ def main_body(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([main_text(t) if isinstance(t, str) else None for t in s], dtype=object)
 
 
-def found(details: DataFrame, residue: DataFrame) -> DataFrame:
-    """p3_found: (job_id, line_no) of the lines that aren't vacancy, without the pages in ``residue`` (job_id)."""
-    pages = details.select("job_id", "description_text").filter(F.col("description_text").isNotNull()).join(residue.select("job_id"), "job_id", "left_anti")
+def found(details: DataFrame, residue) -> DataFrame:
+    """p3_found: (job_id, line_no) of the lines that aren't vacancy; pages that ``residue``, a column function over title
+    and text, marks are left out in the same pass, so that no text is shuffled."""
+    pages = details.filter(F.col("description_text").isNotNull()).filter(~residue("page_title", "description_text"))
     return pages.select("job_id", F.explode(outside_lines("description_text")).alias("line_no")).distinct()

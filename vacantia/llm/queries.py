@@ -55,7 +55,7 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = read(spark, sf_dir, "job_details")
-    return boilerplate.found(details, residue.found(details))
+    return boilerplate.found(details, residue.marker(details))
 
 
 def p3_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:

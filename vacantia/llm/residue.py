@@ -217,8 +217,8 @@ class Judge:
         return bool(text) and any(self.window(line.strip()) for line in text.split("\n") if line.strip())
 
 
-def found(details: DataFrame) -> DataFrame:
-    """p5_found: distinct pages with residue, filler, an error message or a script notice."""
+def marker(details: DataFrame):
+    """A column function over title and text: whether a page is residue; weights are counted over all of ``details``."""
     judge = Judge(*idf_table(details))
 
     @F.pandas_udf(T.BooleanType())
@@ -226,5 +226,10 @@ def found(details: DataFrame) -> DataFrame:
         for titles, texts in batches:
             yield pd.Series([judge.page(t if isinstance(t, str) else None, d if isinstance(d, str) else None) for t, d in zip(titles, texts)], dtype=bool)
 
+    return residue
+
+
+def found(details: DataFrame) -> DataFrame:
+    """p5_found: distinct pages with residue, filler, an error message or a script notice."""
     rows = details.select("job_id", "page_title", "description_text").filter("page_title is not null or description_text is not null")
-    return rows.filter(residue("page_title", "description_text")).select("job_id").distinct()
+    return rows.filter(marker(details)("page_title", "description_text")).select("job_id").distinct()
