@@ -207,7 +207,8 @@ RANK = {"N": 0, "M": 1, "J": 2, "A": 3, "C": 4, "E": 5, "B": 6}
 def employers(names: DataFrame) -> DataFrame:
     """(name, employer) for a frame with one column ``name``; ``employer`` is the root key."""
     seen = names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
-    known = cut_lineage(seen.select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*").filter(F.col("key").isNotNull()))
+    # Cut twice: a filter on the key would be pushed below the count and parse every row, not every name.
+    known = cut_lineage(cut_lineage(seen).select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*")).filter(F.col("key").isNotNull())
     # The order of words and so the acronym may differ between names of one key: all their forms count.
     keys = known.groupBy("key").agg(F.sum("n").alias("weight"), F.first("typing").alias("typing"))
     offers = known.select("key", F.explode("offers").alias("form")).distinct()
