@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.plans import dates, keyed, searching, texts
+from vacantia.plans import dates, keyed, searching, sourcing, texts
 
-MODULES = [dates, searching, texts, keyed]
+MODULES = [dates, searching, texts, keyed, sourcing]
 
 
 def queries() -> dict:
