@@ -18,7 +18,7 @@ import numpy as np
 from vacantia.llm import pii_net as net
 from vacantia.llm.pii_text import FORMS, pieces
 
-MAX_WINDOWS = 36_000
+MAX_WINDOWS = 40_000
 # First names, and the parts of surnames, in the test tables.
 FIRST = "Aisha Amir Anders Björn Bruno Chloé Clara Daniel Dmitri Elena Eva Farid Felix Grace Greta Hanna Hope Hugo Ines Irina Jakub Jonas José Karin Leila Leon Lukas Marek Maria Mark Mina Mira Nadia Noa Omar Oskar Otto Paula Priya Rafael Ravi Rose Selma Sofia Tamar Theo Tomas Ursula Vera Viktor Wanda Will Yael Yusuf Zoe Zoë Éloïse"
 ROOTS = "Kolva Velmu Pretzi Orlpe Hazvi Druvo Fenki Galzu Savku Karve Bezlu Jarzo Lunzo Norzi Tosvi Hovri Lemzi Marvu Morza Ostva"
@@ -31,8 +31,8 @@ EMAIL = re.compile(rf"{FORMS['email'].pattern}", re.I)
 _first = "(?:" + "|".join(FIRST.split()) + ")"
 _part = "(?:" + "|".join(ROOTS.split()) + ")(?:" + "|".join(sorted(ENDS.split(), key=len, reverse=True)) + ")"
 _last = rf"{_part}(?:-{_part})?"
-FULL = re.compile(rf"(?<!\w)(?:{_last}, {_first}(?: [A-Z]\.)?|{_first}(?: [A-Z]\.)? {_last}|[A-Z]\. {_last}|{_first} [A-Z]\.(?=[ ,;]|$)|{_last})(?!\w)", re.I)
-ALONE = re.compile(rf"(?:^~? ?|manager is |ask for |Ask for |talk to |ping |dm |Contact: |Call |Sprich mit |Referred by |My details: |Thanks,\n|Cheers,\n|Regards,\n)({_first})(?=$|\n| <|,| at the| or write| on [+(\d]|;| via list| [+(\d🚀|-]| \(ID| \(HR)", re.I)
+FULL = re.compile(rf"(?<!\w)(?:{_last}, {_first}(?: [^\W\d_]\.)?|{_first}(?: [^\W\d_]\.)? {_last}|[^\W\d_]\. {_last}|{_first} [^\W\d_]\.(?=[ ,;]|$)|{_last})(?!\w)", re.I)
+ALONE = re.compile(rf"(?:^~? ?|manager is |ask for |Ask for |talk to |ping |dm |Contact: |Call |Sprich mit |Referred by |My details: |Thanks,\n|Cheers,\n|Regards,\n|Best,\n)({_first})(?=$|\n| <|,| at the| or write| on [+(\d]|;| via list| [+(\d🚀|-]| \(ID| \(HR)", re.I)
 NOT_A_PERSON = re.compile(rf"{_first} & \w+ Partners|\b{_first} project", re.I)
 USED = re.compile(r"the guide used .* as shown")
 
@@ -84,8 +84,8 @@ def examples(texts: list[str], seed: int = 0) -> tuple[list[str], list[np.ndarra
                     seen.setdefault(other, tags)
     some, none = [w for w in seen if seen[w].any()], [w for w in seen if not seen[w].any()]
     rng.shuffle(some), rng.shuffle(none)
-    for part in (some, none):  # frequent ones first
-        part.sort(key=lambda w: -min(often[w], 3))
+    for part in (some, none):  # frequent and short ones first
+        part.sort(key=lambda w: (-min(often[w], 3), len(w) > 40))
     half = MAX_WINDOWS // 2
     chosen = some[:half] + none[: MAX_WINDOWS - min(half, len(some))]
     chosen = [w for w in chosen for _ in range(1 + min(12, int(often[w] ** 0.5)) * (often[w] > 3))]
@@ -113,9 +113,9 @@ def main(folder: str, hidden: int = 32, epochs: int = 6) -> None:
     import pyarrow.parquet as pq
 
     read = lambda t, c: [x for x in pq.read_table(f"{folder}/{t}.parquet", columns=[c])[c].to_pylist() if x]
-    posts, senders = read("job_postings", "raw_text"), list(dict.fromkeys(read("source_messages", "sender")))
+    posts, senders = read("job_postings", "raw_text"), read("source_messages", "sender")
     random.Random(1).shuffle(posts), random.Random(2).shuffle(senders)
-    windows, tags = examples(senders[:9000] + posts[:22000])
+    windows, tags = examples(senders[:15000] + posts[:22000])
     cut = len(windows) // 20
     print(len(windows), "windows,", sum(t.any() for t in tags), "with spans", flush=True)
     m = net.train(windows[cut:], tags[cut:], hidden, epochs, say=lambda x: print(x, flush=True))
