@@ -10,6 +10,7 @@ GROUPS = [
     ["Dezesetat Technologies", "Dezestat Technologies Inc"],
     ["The Betivotim Holdings Group", "TheBetivotimHoldingsGroup", "TBHG (Betivotim)", "Holdings, The Betivotim Group"],
     ["Zonoklatat International", "Zonoklatat Int'l S.A."],
+    ["Fevidazex Anchor Payments", "Fevidazex A. Payments", "A. Fevidazxe Payments"],
 ]
 
 

@@ -109,7 +109,7 @@ def parse(name: str) -> dict | None:
     alone = len(solid) == 1 and bool(ALONE.match(solid[0][0])) and len(solid[0][0]) <= 6 and not acronym and solid[0][0].casefold() not in SHORT
     for word, dot in solid:
         w = word.casefold()
-        if w in JOINERS:
+        if w in JOINERS and not (word == "A" and len(solid) > 2 and not plain.isupper()):  # a capital A is an initial
             if w == "the":
                 order.append(w)
             continue
@@ -153,6 +153,14 @@ def _left_out(word: str) -> list[str]:
     return [f"C{word}", f"E{word}"] + ([f"E{word[:i]}{word[i + 1 :]}" for i in range(len(word))] if len(word) >= 6 else [])
 
 
+def _initial(letter: str, others: list[str], tail: str) -> list[str]:
+    """An initial with the one other word, one letter of it left out."""
+    if len(others) != 1 or len(others[0]) < 6:
+        return []
+    w = others[0]
+    return [f"G{letter}|{w}{tail}"] + [f"G{letter}|{w[:i]}{w[i + 1 :]}{tail}" for i in range(len(w))]
+
+
 def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
     """Key, forms with a letter left out, forms by which shorter names may find this one, forms by which it finds longer ones."""
     rest, tail = sorted(set(p["rest"])), "#" + "+".join(p["trades"])
@@ -168,13 +176,13 @@ def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
         if len(w) >= 5:
             typing |= {f"D{w[:i]}{w[i + 1 :]}|{others}" for i in range(len(w))}
         if len(w) == 1:
-            asks.add(f"M{w}|{others}")
+            asks |= {f"M{w}|{others}", *_initial(w, rest[:k] + rest[k + 1 :], tail)}
         if len(w) >= 4:
             asks.add(f"N{w}|{others}")
         if len(w) >= 7:
             offers |= {f"N{w[:-n]}|{others}" for n in (3, 4) if len(w) - n >= 4}
         if len(rest) > 1 and len(w) > 1:
-            offers.add(f"M{w[0]}|{others}")
+            offers |= {f"M{w[0]}|{others}", *_initial(w[0], rest[:k] + rest[k + 1 :], tail)}
     full = (bool(p["trades"]) or len(rest) > 1) and all(len(w) > 1 for w in rest)
     if full:
         initials = "".join(w[0] for w in p["order"])
@@ -201,7 +209,7 @@ def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 #: Which kinds of form win, and whether the form may be shared by several keys.
-RANK = {"N": 0, "M": 1, "J": 2, "A": 3, "C": 4, "E": 5, "B": 6}
+RANK = {"N": 0, "M": 1, "J": 2, "G": 3, "A": 4, "C": 5, "E": 6, "B": 7}
 
 
 def employers(names: DataFrame) -> DataFrame:
@@ -225,7 +233,7 @@ def employers(names: DataFrame) -> DataFrame:
     step = step.join(again, "corrected", "left").select("key", "weight", F.coalesce("twice", "corrected").alias("base"))
 
     # Shortenings that keep most of a name, then those that keep one word or none: by the rarest form.
-    step = _shortened(step, offers, asks, "NMJ")
+    step = _shortened(step, offers, asks, "NMJG")
     step = _shortened(step, offers, asks, "ACEB")
     return known.select("name", "key").join(step.select("key", F.col("base").alias("employer")), "key").select("name", "employer")
 

@@ -7,7 +7,9 @@ character straight to the four gates (an embedding and its input weights multipl
 
 from __future__ import annotations
 
+import io
 import unicodedata
+from importlib.resources import files
 from pathlib import Path
 
 import numpy as np
@@ -76,8 +78,9 @@ def new_model(hidden: int, seed: int = 0) -> dict[str, np.ndarray]:
     return m
 
 
-def load(path: Path | str = MODEL) -> dict[str, np.ndarray]:
-    with np.load(path) as z:
+def load() -> dict[str, np.ndarray]:
+    """The trained network; the package may be an archive on a worker."""
+    with np.load(io.BytesIO(files(__package__).joinpath(MODEL.name).read_bytes())) as z:
         return {k: z[k].astype(np.float32) for k in z.files}
 
 

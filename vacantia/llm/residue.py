@@ -46,6 +46,9 @@ xxx xxx xxx
 Text coming soon.
 test test test test
 blah blah blah
+asdf asdf asdf asdf
+qwerty qwerty qwerty qwerty
+TODO: copy the responsibilities from the last posting.
 lorem ipsum dolor sit amet
 Body text body text body text.
 Heading 1
@@ -195,10 +198,10 @@ class Judge:
         for t in words:
             for k in INDEX.get(t, ()):
                 shared[k] = shared.get(k, 0.0) + self.idf[t]
-        if not shared and not words & FILLER:
+        if not shared and not words & FILLER and len(words) != 1:
             return False
-        if len(row) >= 4 and sum(w in FILLER for w in row) >= 0.7 * len(row):
-            return True
+        if len(row) >= 4 and (sum(w in FILLER for w in row) >= 0.7 * len(row) or len(words) == 1 and row[0] != "0"):
+            return True  # the usual filler text, or one word over and over
         mass = sum(self.idf.get(t, self.other) for t in words)
         real = max((s / mass for k, s in shared.items() if not EXEMPLARS[k][1] and s >= 0.5 * self.mass[k]), default=0.0)
         if real >= 0.7:
