@@ -48,7 +48,7 @@ BAD = ["Our office in {{company_name}} is close to the station.", "Reports to: [
 
 def test_tables(spark):
     rows = [(1, "Data Engineer", GOOD, 0), (2, None, None, 0), (3, "${title} - Careers", "Data Engineer", 0), (4, "Data Engineer", "", 0), (5, "JavaScript Developer, Error Pages | Acme", GOOD, 0), (6, None, PAGE, 0), (6, None, PAGE, 0), (7, "  ", "\n\n", 0)]
-    rows += [(100 + k, "Data Engineer", f"Data Engineer\nWe keep devices connected.\n{b}", 0) for k, b in enumerate(BAD)] + [(900, "x", "y " * 50_000, 0)]
+    rows += [(100 + k, "Data Engineer", f"Data Engineer\nWe keep devices connected.\n{b}", 0) for k, b in enumerate(BAD)] + [(900, "x", "we keep devices " * 20_000, 0)]
     details = spark.createDataFrame(rows, "job_id bigint, page_title string, description_text string, line_no int")
     bad = R.found(details)
     assert {r.job_id for r in bad.collect()} == {3, *range(100, 100 + len(BAD))}

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.tables import spread
+
 from vacantia.llm.layout import render_lines
 
 # Phrases of page furniture, folded to lower case.
@@ -118,5 +120,5 @@ def main_body(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def found(details: DataFrame, residue) -> DataFrame:
     """p3_found: (job_id, line_no) of the lines that aren't vacancy; pages that ``residue``, a column function over title
     and text, marks are left out in the same pass, so that no text is shuffled."""
-    pages = details.filter(F.col("description_text").isNotNull()).filter(~residue("page_title", "description_text"))
+    pages = spread(details.select("job_id", "page_title", "description_text").filter(F.col("description_text").isNotNull()), "job_id").filter(~residue("page_title", "description_text"))
     return pages.select("job_id", F.explode(outside_lines("description_text")).alias("line_no")).distinct()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.tokenizer import VOCABULARY, token_counter
-from vacantia.tables import cut_lineage
+from vacantia.tables import cut_lineage, spread
 
 NEARLY = 0.985
 FAN = 8
@@ -53,7 +53,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, copy_no, tokens) of all texts with tokens."""
-    counted = documents.filter(F.col("text").isNotNull()).select("doc_id", "source", token_counter(vocabulary)("text").alias("tokens"))
+    counted = spread(documents.filter(F.col("text").isNotNull()).select("doc_id", "source", "text"), "doc_id").select("doc_id", "source", token_counter(vocabulary)("text").alias("tokens"))
     numbered = cut_lineage(counted.filter("tokens > 0"))
     return numbered.withColumn("copy_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("tokens", "source")).cast("bigint") - 1)
 

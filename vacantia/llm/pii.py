@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.tables import spread
+
 from vacantia.llm import pii_net as net
 from vacantia.llm.pii_text import STRIDE, WIDTH, pieces, settle
 
@@ -134,5 +136,5 @@ def texts(postings: DataFrame, messages: DataFrame) -> DataFrame:
 
 def found(postings: DataFrame, messages: DataFrame) -> DataFrame:
     """p2_found: distinct items of personal information."""
-    rows = texts(postings, messages).filter(F.col("text").isNotNull()).select("source_table", "row_key", F.explode(spans("text")).alias("s"))
+    rows = spread(texts(postings, messages).filter(F.col("text").isNotNull()), "row_key").select("source_table", "row_key", F.explode(spans("text")).alias("s"))
     return rows.select("source_table", "row_key", "s.start_pos", "s.end_pos", "s.pii_type").distinct()

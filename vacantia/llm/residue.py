@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vacantia.tables import spread
+
 MAX_TOKENS = 5000
 SLOT = "slotslot"
 #: Notations of placeholders that a template engine or an editor should have filled in.
@@ -167,7 +169,7 @@ for _k, (_e, _) in enumerate(EXEMPLARS):
 
 def idf_table(details: DataFrame) -> tuple[dict[str, float], float]:
     """The weight of each token of the exemplars and that of a token unknown to them, from the windows of all pages."""
-    windows = details.select(F.explode(F.split(F.concat_ws("\n", "page_title", "description_text"), "\n")).alias("w")).filter("trim(w) <> ''")
+    windows = spread(details.select("job_id", "page_title", "description_text"), "job_id").select(F.explode(F.split(F.concat_ws("\n", "page_title", "description_text"), "\n")).alias("w")).filter("trim(w) <> ''")
     words = F.array_distinct(F.regexp_extract_all(F.lower("w"), F.lit(r"(?U)(%s|\[object|[^\W_]+)"), F.lit(1)))
     counted = windows.select(F.explode(F.concat(words, F.array(F.lit("\u0000")))).alias("t")).filter(F.col("t").isin(*VOCABULARY[:MAX_TOKENS], "\u0000")).groupBy("t").agg(F.count("*").alias("n"))
     count = {r.t: r.n for r in counted.limit(MAX_TOKENS + 1).collect()}
@@ -229,10 +231,10 @@ def marker(details: DataFrame):
         for titles, texts in batches:
             yield pd.Series([judge.page(t if isinstance(t, str) else None, d if isinstance(d, str) else None) for t, d in zip(titles, texts)], dtype=bool)
 
-    return residue
+    return residue.asNondeterministic()  # so that it isn't evaluated before small inputs are spread
 
 
 def found(details: DataFrame) -> DataFrame:
     """p5_found: distinct pages with residue, filler, an error message or a script notice."""
-    rows = details.select("job_id", "page_title", "description_text").filter("page_title is not null or description_text is not null")
+    rows = spread(details.select("job_id", "page_title", "description_text").filter("page_title is not null or description_text is not null"), "job_id")
     return rows.filter(marker(details)("page_title", "description_text")).select("job_id").distinct()

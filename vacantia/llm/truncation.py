@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.tables import cut_lineage
+from vacantia.tables import cut_lineage, spread
 
 # Marks and links that may follow a cut.
 MARK = re.compile(r"(?:\s*(?:\[(?:…|\.\.\.)\]|\((?:more|mehr|suite|más|continued)\)|(?:…|\.\.\.)?\s*(?:Show|Read|See) more\.?|…|\.\.\.))+\s*$")
@@ -192,7 +192,7 @@ def limits(docs: DataFrame) -> DataFrame:
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, odds, posterior): one row for each row with text."""
-    texts = documents.select("doc_id", "source", "text").filter(F.col("text").rlike(r"(?U)\S"))
+    texts = spread(documents.select("doc_id", "source", "text").filter(F.col("text").rlike(r"(?U)\S")), "doc_id")
     counts = texts.select("text").mapInPandas(count_keys, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
     docs = cut_lineage(texts.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), ends("text").alias("e")).select("doc_id", "source", "h", "e.*"))
     keyed = docs.filter(~F.col("closed")).select("doc_id", "h", F.explode("keys").alias("k")).distinct()
