@@ -68,7 +68,9 @@ def _years(low: Column, high: Column | None) -> Column:
 
 def experience_candidates(text: Column) -> Column:
     """Distinct (low, high) of the years asked for in fragments that speak of experience; high is null if open."""
-    context = F.filter(fragments(text), lambda f: t.phrase(f, *EXPERIENCE_CONTEXT))
+    # Every form has one of these words: fragments without them needn't be looked at.
+    dated = F.when(text.contains("year") | text.contains("yr"), F.filter(fragments(text), lambda f: f.contains("year") | f.contains("yr"))).otherwise(F.array().cast("array<string>"))
+    context = F.filter(dated, lambda f: t.phrase(f, *EXPERIENCE_CONTEXT))
     # A fragment that holds several ranges is matched by each; pairs are read from the two groups side by side.
     ranges = F.flatten(F.transform(context, lambda f: F.zip_with(F.regexp_extract_all(f, F.lit(RANGE), F.lit(1)), F.regexp_extract_all(f, F.lit(RANGE), F.lit(2)), lambda a, b: _years(a, b))))
     opened = F.flatten(F.transform(context, lambda f: F.flatten(F.array(*[F.transform(F.regexp_extract_all(f, F.lit(p), F.lit(1)), lambda a: _years(a, None)) for p in OPEN_ENDED]))))

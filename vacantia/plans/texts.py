@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vacantia.functions import analysis as a
 from vacantia.functions import text as t
 from vacantia.plans.register import Register
-from vacantia.tables import read
+from vacantia.tables import read, spread
 
 query = Register()
 _FOLD = "trim(regexp_replace(lower(coalesce({0}, '')), '\\s+', ' ', 'g'))"
@@ -94,7 +94,7 @@ def _has(column: str, words: list[str]) -> str:
 @query("WITH x AS (SELECT " + _FOLD.format("text") + " AS x FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS technology, count(*) AS documents FROM x WHERE {_has('x', w)} HAVING count(*) > 0" for n, w in a.TECHNOLOGIES.items() if n != "Spring"))
 def technology_counts(spark, d):
     found = a.technologies(t.analysis_text(F.col("text")))
-    return read(spark, d, "documents").select(F.explode(found).alias("technology")).filter("technology <> 'Spring'").groupBy("technology").agg(F.count("*").alias("documents"))
+    return spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.explode(found).alias("technology")).filter("technology <> 'Spring'").groupBy("technology").agg(F.count("*").alias("documents"))
 
 
 @query("WITH x AS (SELECT doc_id, " + _FOLD.format("text") + " AS x FROM documents) SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {_has('x', w)} THEN '{n}' END" for n, w in a.SENIORITY.items()) + "], lambda s: s IS NOT NULL)::VARCHAR AS signals FROM x")
@@ -116,7 +116,7 @@ def keyword_score(spark, d):
 @query()
 def description_analysis(spark, d):
     """The whole analysis of every fetched page."""
-    rows = a.analysed(read(spark, d, "job_details").filter("description_text is not null"), "description_text")
+    rows = a.analysed(spread(read(spark, d, "job_details").filter("description_text is not null").select("job_id", "description_text"), "job_id"), "description_text")
     return rows.select("job_id", "experience_min", "experience_max", "experience_label", "technologies", "seniority_signals", "education_signals", "analysis_confidence")
 
 

@@ -30,6 +30,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as there are cores, by hash of the keys, if it comes in fewer; else as it is.
+
+    For slow functions over inputs of one small file; anything large has more partitions than that and isn't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 
