@@ -224,9 +224,8 @@ def phrase(text: Column, *phrases: str) -> Column:
 
 def keyword(text: Column, *keywords: str) -> Column:
     """As ``phrase``, with the letters of all languages as parts of words."""
-    words = tuple(k.casefold() for k in keywords)
-    one = "|".join(re.escape(w).replace("\\ ", " ") for w in words)
-    return _any_in(text, tuple(w for w in words if not any(v != w and v in w for v in words))) & text.rlike(f"(?U)(?<!\\w)(?:{one})(?!\\w)")
+    one = "|".join(re.escape(w).replace("\\ ", " ") for w in keywords)
+    return _any_in(text, tuple(w for w in keywords if not any(v != w and v in w for v in keywords))) & text.rlike(f"(?U)(?<!\\w)(?:{one})(?!\\w)")
 
 
 def matching(text: Column, words: list[str], test=phrase) -> Column:
