@@ -25,7 +25,8 @@ from vacantia.llm.packing import sizes
 from vacantia.llm.tokenizer import VOCABULARY
 from vacantia.tables import cut_lineage
 
-BUCKETS = 256
+#: Texts of a source whose tokens are summed in one task; the number of hash buckets follows the number of texts.
+BUCKET_ROWS = 50_000
 MAX_SOURCES = 10_000
 PLAN = "source string, target_share double, corpus_share double, corpus_tokens bigint, demand double, most int, slope double, mean double, total double"
 
@@ -69,7 +70,8 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
     spark = documents.sparkSession
     texts = cut_lineage(sizes(documents, vocabulary))
     schedule = spark.createDataFrame(plan(texts, targets), PLAN)
-    keyed = texts.join(targets.select("source").distinct(), "source", "left_semi").withColumn("h", F.xxhash64("doc_id", "copy_no", F.lit("mix"))).withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
+    buckets = max(16, -(-texts.count() // BUCKET_ROWS))
+    keyed = texts.join(targets.select("source").distinct(), "source", "left_semi").withColumn("h", F.xxhash64("doc_id", "copy_no", F.lit("mix"))).withColumn("b", F.pmod(F.shiftright("h", 20), F.lit(buckets)))
     sums = keyed.groupBy("source", "b").agg(F.sum("tokens").alias("t"))
     before = sums.select("source", "b", (F.sum("t").over(Window.partitionBy("source").orderBy("b")) - F.col("t")).alias("ahead"))
     inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "copy_no")
