@@ -1,0 +1 @@
+"""Sources: raw payloads to messages, postings and normalised jobs."""
