@@ -51,7 +51,7 @@ PITCH = re.compile(r"^you\b|^your (?!privacy)|^part of\b|^we (?:own|build|mainta
 def furniture(text: str) -> bool:
     """Whether a line is page furniture by itself."""
     line = text.strip()
-    folded = line.casefold().strip("  .:!…")
+    folded = line.casefold().strip(" \u00a0.:!…")
     if folded in PHRASES or folded.rstrip("?") + "?" in PHRASES:
         return True
     parts = [p.strip(" .:").casefold() for p in BETWEEN.split(line) if p.strip()]
