@@ -107,7 +107,6 @@ def test_catalogue_and_runs(spark, tables):
 def test_streams(spark, tmp_path):
     data = spark.createDataFrame([(i, f"2025-01-01 00:00:{i % 50:02d}", i % 5) for i in range(200)], "event_id bigint, ts string, k int").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "k")
     data.coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
-    path = str(tmp_path / "e.parquet" / "part-*.parquet")
     (tmp_path / "e.parquet" / "_SUCCESS").unlink()
     name = next((tmp_path / "e.parquet").glob("part-*.parquet"))
     assert incremental.read_since(spark, str(name), "event_id", 150).count() == 49
@@ -121,4 +120,3 @@ def test_streams(spark, tmp_path):
         for _ in range(2):  # a repeated batch replaces itself
             write(spark.createDataFrame(rows, "k string, v int"), number)
     assert sorted(tuple(r) for r in incremental.current(spark, out, ["k"]).collect()) == [("a", 2), ("b", 1)]
-    del path

@@ -84,7 +84,7 @@ def distinct_neighbours(lines: Column) -> Column:
 
 def page_text(text: Column) -> Column:
     """A page's text: spaces within lines collapsed, blank and repeated lines dropped, at most 60,000 characters."""
-    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), " ", " "), r"\r\n?", "\n")
+    plain = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), r"\r\n?", "\n")
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.substring(F.array_join(distinct_neighbours(lines), "\n"), 1, MAX_PAGE_CHARS)
 

@@ -51,7 +51,7 @@ def export_summary(files: DataFrame) -> DataFrame:
 def group_messages(files: DataFrame, group: str, source: str = "whatsapp") -> DataFrame:
     """Messages of text exports (columns ``path``, ``payload``): records begin at ``M/d/yy, HH:mm - `` and go on over the
     lines up to the next; text before the first fails. Ids are hashes that number equal messages."""
-    lines = files.select("path", F.posexplode(F.split("payload", "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")).alias("i", "line"))
+    lines = files.select("path", F.posexplode(F.split("payload", "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]")).alias("i", "line"))
     header = F.col("line").rlike(HEADER)
     body = records.assembled(lines.withColumn("line", F.when((F.col("i") == 0) & ~header & (F.trim("line") != ""), F.raise_error(F.lit("text before the first message"))).otherwise(F.col("line"))), ["path"], "i", "line", header)
     first = F.substring_index("body", "\n", 1)

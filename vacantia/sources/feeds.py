@@ -42,9 +42,6 @@ def _each(path: str, *fields: str) -> Column:
     return F.array_join(F.transform(_list(path), one), " ")
 
 
-_NONE = F.array
-
-
 def _codes(*columns: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.upper(F.nullif(c, F.lit(""))) for c in columns)))))
 
