@@ -42,6 +42,25 @@ def test_reasoned_order(spark):
     assert got[1] == ("c", False) and got[7] == ("b", True) and got[8] == (None, None) and got[9] == ("c", False)
 
 
+def test_undated_values_beside_dated_ones_and_over_other_values(spark):
+    order = spark.createDataFrame([("a", "b", 3), ("b", "c", 3), ("c", "d", 2), ("x", "y", 2), ("y", "x", 2)], "earlier string, later string, votes bigint")
+    groups = {
+        1: [("a", None), ("c", None)],  # only b, which isn't here, links them
+        2: [("a", 5), ("c", None)],  # follows the latest dated value
+        3: [("c", 5), ("a", None)],
+        4: [("a", 5), ("q", None)],  # can't be compared
+        5: [("a", 5), ("d", None), ("c", None)],
+        6: [("c", 1), ("a", 5), ("b", None)],  # between dated values in both directions: time decides
+        7: [("a", 5), ("c", 1), ("c", None)],  # dated as well, so not reasoned
+        8: [("x", None), ("y", None)],  # circular
+        9: [("a", None), ("q", None), ("d", None), ("d", None)],
+    }
+    rows = [(g, g, 10 * g + k, v, "t", i) for g, values in groups.items() for k, (v, i) in enumerate(values)]
+    df = spark.createDataFrame(rows, "group_id bigint, job_id bigint, posting_id bigint, source string, title string, instant bigint")
+    got = {r.group_id: (r.value, r.reasoned) for r in S.latest_values(df, "source", order).collect()}
+    assert got == {1: ("c", True), 2: ("c", True), 3: ("c", False), 4: ("a", False), 5: ("d", True), 6: ("a", False), 7: ("a", False), 8: ("x", True), 9: ("d", True)}
+
+
 def test_empty(spark, frames):
     empty = [f.limit(0) for f in frames]
     assert S.fused(S.group_rows(*empty)).count() == 0

@@ -1,11 +1,11 @@
 """Best representative of each duplicate group, by currency reasoning.
 
 Trusted choice: the posting of the most trusted source, then of the highest confidence, then the latest, then the
-smallest id. Current choice: the latest posting by its own timestamp. Where no posting of a group has a readable
-timestamp, the order of values is reasoned: ``learn_precedence`` counts, over all groups with timestamps, how often one
-value of a field is directly followed by another; a value precedes another if it does so more often than the reverse.
-``latest_values`` builds the partial order of each group from these pairs and returns the values that precede no other
-value of the group.
+smallest id. Current choice: the latest posting by its own timestamp. The order of values without a readable timestamp is
+reasoned, beside dated values of the group too: ``learn_precedence`` counts, over all groups with timestamps, how often
+one value of a field is directly followed by another; a value precedes another if it does so more often than the
+reverse, and ``reachable`` follows these arcs to the end. ``latest_values`` puts the undated values of each group into
+one partial order with the dated ones and returns its latest value.
 
 Defined results: a group without postings, or whose jobs are unknown, keeps its row with zeros and null values; null
 confidence and unreadable timestamps come last; a source without trust rank comes after all ranked ones; ties end at the
@@ -72,20 +72,47 @@ def learn_precedence(rows: DataFrame, field: str, least: int = 2) -> DataFrame:
     return kept.select("earlier", "later", "votes")
 
 
+def reachable(precedence: DataFrame, starts: DataFrame) -> DataFrame:
+    """(earlier, later): every value that a path of learned arcs leads to from a value of ``starts``, to the end."""
+    arcs = cut_lineage(precedence.select("earlier", "later"))
+    step = cut_lineage(arcs.join(starts.select(F.col("value").alias("earlier")).distinct(), "earlier", "left_semi"))
+    known = step
+    while not step.isEmpty():
+        further = step.join(arcs.select(F.col("earlier").alias("later"), F.col("later").alias("next")), "later").select("earlier", F.col("next").alias("later")).distinct()
+        step = cut_lineage(further.join(known, ["earlier", "later"], "left_anti"))
+        known = cut_lineage(known.unionByName(step))
+    return known
+
+
 def latest_values(rows: DataFrame, field: str, precedence: DataFrame) -> DataFrame:
-    """(group_id, value, reasoned): of groups with readable timestamps the value at the latest one; of the others the
-    value that precedes no other of the group (all values, if the order is circular), the smallest where several are
-    left; null if there is none."""
-    stamped = rows.filter(F.col(field).isNotNull() & F.col("instant").isNotNull())
-    dated = stamped.groupBy("group_id").agg(F.min(F.struct((-F.col("instant")).alias("a"), F.col("posting_id").alias("b"), F.col(field).alias("v")))["v"].alias("value"))
-    undated = rows.join(dated.select("group_id"), "group_id", "left_anti").filter(F.col(field).isNotNull()).select("group_id", F.col(field).alias("value")).distinct()
-    # A value is compared along the learned pairs only, never with every other value of its group.
-    arcs = undated.join(precedence.select(F.col("earlier").alias("value"), "later"), "value")
-    beaten = arcs.join(undated.select("group_id", F.col("value").alias("later")), ["group_id", "later"], "left_semi").select("group_id", "value").distinct()
-    marked = undated.join(beaten.withColumn("beaten", F.lit(1)), ["group_id", "value"], "left")
-    last = marked.groupBy("group_id").agg(F.min(F.struct(F.coalesce("beaten", F.lit(0)).alias("a"), F.col("value").alias("b")))["b"].alias("value"))
-    both = dated.withColumn("reasoned", F.lit(False)).unionByName(last.withColumn("reasoned", F.lit(True)))
-    return rows.select("group_id").distinct().join(both, "group_id", "left")
+    """(group_id, value, reasoned): the topologically latest value of each group, null if there is none.
+
+    The order of a group: its values with readable timestamps follow each other by their latest one; a value without any
+    precedes or follows another where the learned arcs lead from one to the other, over whatever values (if they lead both
+    ways, neither precedes). An undated value replaces the latest dated one only if it follows that one and precedes no
+    dated value; so of values that can't be compared the dated one is taken, else the smallest."""
+    stamp = F.when(F.col("instant").isNotNull(), F.struct((-F.col("instant")).alias("a"), F.col("posting_id").alias("b")))
+    values = rows.filter(F.col(field).isNotNull()).groupBy("group_id", F.col(field).alias("value")).agg(F.min(stamp).alias("stamp"))
+    values = cut_lineage(values)  # read four times below
+    dated = values.filter("stamp is not null").groupBy("group_id").agg(F.min(F.struct("stamp", "value"))["value"].alias("top"))
+    held = values.join(values.filter("stamp is null").select("group_id").distinct(), "group_id", "left_semi").join(dated, "group_id", "left")
+    held = cut_lineage(held.select("group_id", "value", F.col("stamp").isNotNull().alias("dated"), "top"))
+    free = held.filter("not dated")
+    starts = held.filter("not dated or value = top")
+    # A value is compared along the learned paths only, never with every other value of its group.
+    paths = starts.select("group_id", F.col("value").alias("earlier"), F.col("dated").alias("from_dated")).join(reachable(precedence, starts), "earlier")
+    arcs = paths.join(held.select("group_id", F.col("value").alias("later"), F.col("dated").alias("to_dated")), ["group_id", "later"])
+    arcs = cut_lineage(arcs.filter("earlier <> later and not (from_dated and to_dated)"))
+    above = arcs.filter("from_dated").select("group_id", F.col("later").alias("value"))
+    below = arcs.filter("to_dated").select("group_id", F.col("earlier").alias("value"))
+    newer = free.filter("top is not null").join(above, ["group_id", "value"], "left_semi").join(below, ["group_id", "value"], "left_anti")
+    open_values = free.filter("top is null").unionByName(newer).select("group_id", "value")
+    back = arcs.select("group_id", F.col("later").alias("earlier"), F.col("earlier").alias("later"))
+    strict = arcs.filter("not from_dated and not to_dated").join(back, ["group_id", "earlier", "later"], "left_anti")
+    beaten = strict.join(open_values.withColumnRenamed("value", "later"), ["group_id", "later"], "left_semi").select("group_id", F.col("earlier").alias("value"))
+    last = open_values.join(beaten, ["group_id", "value"], "left_anti").groupBy("group_id").agg(F.min("value").alias("last"))
+    out = rows.select("group_id").distinct().join(dated, "group_id", "left").join(last, "group_id", "left")
+    return out.select("group_id", F.coalesce("last", "top").alias("value"), F.when(F.coalesce("last", "top").isNotNull(), F.col("last").isNotNull()).alias("reasoned"))
 
 
 def fused(rows: DataFrame) -> DataFrame:
