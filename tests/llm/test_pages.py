@@ -56,3 +56,10 @@ def test_tables(spark):
     assert {n for j, n in got if j == 6} == set(B.outside(PAGE)) and {j for j, _ in got} == {6}
     assert R.found(details.limit(0)).count() == 0 and B.found(details.limit(0), R.marker(details.limit(0))).count() == 0
     assert details.select(L.rendered("description_text").alias("t"), B.main_body("description_text").alias("m")).count() == len(rows)
+
+
+def test_weights_count_the_tokens_that_are_judged(spark):
+    details = spark.createDataFrame([(1, "Join {{team}} 2024", "from 10 to 20\n\nplain line"), (2, None, "${a} and [INSERT ROLE]\nError 404")], "job_id bigint, page_title string, description_text string")
+    idf, other = R.idf_table(details)
+    weight = lambda n: R.math.log(6 / (n + 1)) + 1
+    assert [idf[t] for t in (R.SLOT, "0", "404", "error", "lorem")] == [weight(n) for n in (2, 2, 1, 1, 0)] and other == R.math.log(6) / 2 + 1

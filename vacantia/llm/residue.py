@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +29,7 @@ from vacantia.tables import spread
 
 MAX_TOKENS = 5000
 SLOT = "slotslot"
+WINDOWS = "\u0000"
 #: Notations of placeholders that a template engine or an editor should have filled in.
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|\{%[^%\n]{0,60}%\}|<%[^%\n]{0,60}%>|%%\w{1,40}%%|@@\w{1,40}@@|__[A-Z][A-Z0-9_]*?__|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Z][A-Z0-9_]{2,40}%|%\(\w+\)s"
@@ -167,13 +169,31 @@ for _k, (_e, _) in enumerate(EXEMPLARS):
         INDEX.setdefault(_t, []).append(_k)
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many windows each token of the exemplars stands, and under ``WINDOWS`` how many there are."""
+    vocabulary, known, count = frozenset(VOCABULARY), {}, Counter({WINDOWS: 0})
+    for rows in batches:
+        for parts in zip(rows["page_title"], rows["description_text"]):
+            for window in "\n".join(p for p in parts if isinstance(p, str)).split("\n"):
+                window = window.strip()
+                if not window:
+                    continue
+                held = known.get(window)
+                if held is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    held = known[window] = vocabulary.intersection(tokens(window))
+                count.update(held)
+                count[WINDOWS] += 1
+    yield pd.DataFrame({"t": list(count.keys()), "n": list(count.values())})
+
+
 def idf_table(details: DataFrame) -> tuple[dict[str, float], float]:
     """The weight of each token of the exemplars and that of a token unknown to them, from the windows of all pages."""
-    windows = spread(details.select("job_id", "page_title", "description_text"), "job_id").select(F.explode(F.split(F.concat_ws("\n", "page_title", "description_text"), "\n")).alias("w")).filter("trim(w) <> ''")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("w"), F.lit(r"(?U)(%s|\[object|[^\W_]+)"), F.lit(1)))
-    counted = windows.select(F.explode(F.concat(words, F.array(F.lit("\u0000")))).alias("t")).filter(F.col("t").isin(*VOCABULARY[:MAX_TOKENS], "\u0000")).groupBy("t").agg(F.count("*").alias("n"))
+    rows = spread(details.select("job_id", "page_title", "description_text"), "job_id").select("page_title", "description_text")
+    counted = rows.mapInPandas(_counted, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
     count = {r.t: r.n for r in counted.limit(MAX_TOKENS + 1).collect()}
-    total = count.get("\u0000", 0)
+    total = count.get(WINDOWS, 0)
     return {t: math.log((total + 1) / (count.get(t, 0) + 1)) + 1 for t in VOCABULARY}, math.log(total + 1) / 2 + 1
 
 
