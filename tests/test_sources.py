@@ -103,6 +103,15 @@ STORE = b"From: noreply@mail.amazon.jobs\nSubject: Recommended Amazon jobs for y
 PASTED = "Dev II\nHaifa, Israel\n|\nJob ID: 2912345\nPosted today\nWrite to a@b.example\nQA Lead\nBerlin, Germany\nJob ID: 2912346\n"
 
 
+def test_notification_of_too_many_lines_is_rejected(spark, tmp_path):
+    from vacantia.plans import sourcing
+
+    rows = [("g", "1", "line\n" * 199 + "line"), ("g", "2", "line\n" * 200 + "line"), ("g", "3", ""), ("g", "4", None)]
+    spark.createDataFrame(rows, "source_group string, source_message_id string, raw_text string").write.parquet(f"{tmp_path}/source_messages.parquet")
+    got = sourcing.QUERIES["notification_records"](spark, str(tmp_path)).collect()
+    assert {r.outcome: r.records for r in got} == {"accepted": 1, "rejected": 3}
+
+
 def test_cards(spark):
     raw = spark.createDataFrame([("a", MAIL), ("b", MAIL), ("c", b"From: x@y.example\n\nhi"), ("d", b"")], "path string, content binary")
     got = mail.read_cards(raw, "network_mail")

@@ -104,7 +104,7 @@ def group_digest(spark, d):
 @query("SELECT CASE WHEN raw_text IS NULL OR raw_text = '' THEN 'rejected' ELSE 'accepted' END AS outcome, count(*) AS records FROM source_messages GROUP BY 1")
 def notification_records(spark, d):
     rows = read(spark, d, "source_messages")
-    lines = F.when(F.coalesce("raw_text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.slice(F.split("raw_text", "\n"), 1, 200))
+    lines = F.when(F.coalesce("raw_text", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("raw_text", "\n"))
     record = F.struct(F.lit("notification").alias("type"), F.lit(1).alias("protocol_version"), F.lit("g").alias("group_identifier"), F.concat(F.lit("wa_notification_"), F.sha2(F.concat_ws("/", "source_group", "source_message_id"), 256)).alias("source_message_id"), F.lit("2025-01-01T00:00:00+00:00").alias("message_date"), lines.alias("body_lines"))
     checked = notifications.checked(rows.select(F.to_json(record).alias("value")), "g")
     return checked.groupBy(F.when(F.col("reason").isNull(), "accepted").otherwise("rejected").alias("outcome")).agg(F.count("*").alias("records"))
