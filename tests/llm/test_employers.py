@@ -28,3 +28,13 @@ def test_near_against_all_distances():
     rng = random.Random(2)
     words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(120)]
     assert all(E.near(a, b) == (brute(a, b) <= 1) for a in words for b in words)
+
+
+def test_long_names_are_rewritten():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bdkvz") + rng.choice("aeiou") for _ in range(6)) for _ in range(60)]
+    name = " ".join(words)
+    key, typing, *_ = E.forms(E.parse(name))
+    assert len(name) > 400 and E.forms(E.parse(name.upper().replace(" ", "_") + " GmbH"))[0] == key
+    assert set(typing) & set(E.forms(E.parse(name.replace(words[7], words[7][:-1])))[1])
+    assert max(map(len, typing)) <= E.LONG

@@ -44,3 +44,8 @@ def test_table(spark):
     got = L.resolved(jobs.drop("location_id"), catalogue, "location", "place").orderBy("id").collect()
     assert [r.place for r in got] == [7, None, None, 6, 0, 0]
     assert L.resolved(jobs, catalogue.filter(F.lit(False)), "location", "place").filter("place <> 0").count() == 0
+
+
+def test_long_values_are_read():
+    g = L.Gazetteer(ENTRIES)
+    assert g.resolve("All of Norvania" + " " * 400) == 2 and g.resolve("uppr koregrir, " + "x" * 400) == 4

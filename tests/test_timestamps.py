@@ -68,3 +68,8 @@ def test_empty_tables_and_repeats(spark):
     groups = spark.createDataFrame([("g", "Europe/Berlin", "MDY")], "source_group string, tz_name string, date_order string")
     got = {tuple(r) for r in ts.found(jobs, posts, msgs, groups).collect()}
     assert got == {("jobs", "1", "2025-04-03"), ("job_postings", "7", "2025-04-03T08:00:00.000Z"), ("job_postings", "8", "2025-03-04T10:00:00.000Z")}
+
+
+def test_padded_values_are_read(spark):
+    df = spark.createDataFrame([(" " * 90 + "2024-01-01T10:00:00Z" + "\u00a0" * 5000,), ("2024-01-01T10:00:00Z" + " " * 50_000 + "x",)], "value string")
+    assert [str(r.day) for r in ts.with_parsed(df, F.col("value"), "day", "micros").collect()] == ["2024-01-01", "None"]

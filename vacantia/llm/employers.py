@@ -14,12 +14,13 @@ links nothing. Each key so gets at most one parent, never pairs; two steps (typi
 followed twice) reach the root, whose name stands for the employer.
 
 Defined results: null, blank and useless names ("n/a", "confidential") belong to no employer; names that differ only in
-case or spaces are different spellings of one; names over 400 characters are only compared as they stand; repeated rows
+case or spaces are different spellings of one; names of any length are rewritten, and forms over ``LONG`` characters stand as digests; repeated rows
 count as weight; ties go to the smaller key; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -89,8 +90,6 @@ def trade(word: str, dotted: bool) -> str | None:
 
 def parse(name: str) -> dict | None:
     """The words of a name by role, or None where it names nobody."""
-    if len(name) > 400:
-        return {"rest": [name.strip().casefold()], "order": [], "trades": [], "acronym": "", "alone": False}
     plain = re.sub(r"['’`]", "", fold(name))
     whole = re.sub(r"[^\w]+|_+", " ", plain.casefold()).strip()
     if whole in USELESS or not re.search(r"[^\W\d_]", whole):
@@ -148,9 +147,17 @@ def _cut(word: str, dotted: bool) -> tuple[str, list[str]]:
         return word, found
 
 
+LONG = 200
+
+
+def _brief(form: str) -> str:
+    """A form, or its kind and digest where it is long: a name has as many forms as letters, and forms are only compared."""
+    return form if len(form) <= LONG else form[0] + hashlib.sha256(form.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def _left_out(word: str) -> list[str]:
     """A word alone, and with one letter left out."""
-    return [f"C{word}", f"E{word}"] + ([f"E{word[:i]}{word[i + 1 :]}" for i in range(len(word))] if len(word) >= 6 else [])
+    return [_brief(f"C{word}"), _brief(f"E{word}")] + ([_brief(f"E{word[:i]}{word[i + 1 :]}") for i in range(len(word))] if len(word) >= 6 else [])
 
 
 def _initial(letter: str, others: list[str], tail: str) -> list[str]:
@@ -158,7 +165,7 @@ def _initial(letter: str, others: list[str], tail: str) -> list[str]:
     if len(others) != 1 or len(others[0]) < 6:
         return []
     w = others[0]
-    return [f"G{letter}|{w}{tail}"] + [f"G{letter}|{w[:i]}{w[i + 1 :]}{tail}" for i in range(len(w))]
+    return [_brief(f"G{letter}|{w}{tail}")] + [_brief(f"G{letter}|{w[:i]}{w[i + 1 :]}{tail}") for i in range(len(w))]
 
 
 def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
@@ -168,33 +175,33 @@ def forms(p: dict) -> tuple[str, list[str], list[str], list[str]]:
     if p["acronym"] or p["alone"]:
         if p["alone"]:
             return key, [], [], [f"B{rest[0]}"]
-        return key, [], [], [f"A{p['acronym']}|{c}" for c in rest] + [f for c in rest for f in _left_out(c)]
+        return key, [], [], [_brief(f"A{p['acronym']}|{c}") for c in rest] + [f for c in rest for f in _left_out(c)]
     typing, offers, asks = set(), set(), set()
     for k, w in enumerate(rest):
         others = "|".join(rest[:k] + rest[k + 1 :]) + tail
-        typing.add(f"D{w}|{others}")
+        typing.add(_brief(f"D{w}|{others}"))
         if len(w) >= 5:
-            typing |= {f"D{w[:i]}{w[i + 1 :]}|{others}" for i in range(len(w))}
+            typing |= {_brief(f"D{w[:i]}{w[i + 1 :]}|{others}") for i in range(len(w))}
         if len(w) == 1:
-            asks |= {f"M{w}|{others}", *_initial(w, rest[:k] + rest[k + 1 :], tail)}
+            asks |= {_brief(f"M{w}|{others}"), *_initial(w, rest[:k] + rest[k + 1 :], tail)}
         if len(w) >= 4:
-            asks.add(f"N{w}|{others}")
+            asks.add(_brief(f"N{w}|{others}"))
         if len(w) >= 7:
-            offers |= {f"N{w[:-n]}|{others}" for n in (3, 4) if len(w) - n >= 4}
+            offers |= {_brief(f"N{w[:-n]}|{others}") for n in (3, 4) if len(w) - n >= 4}
         if len(rest) > 1 and len(w) > 1:
-            offers |= {f"M{w[0]}|{others}", *_initial(w[0], rest[:k] + rest[k + 1 :], tail)}
+            offers |= {_brief(f"M{w[0]}|{others}"), *_initial(w[0], rest[:k] + rest[k + 1 :], tail)}
     full = (bool(p["trades"]) or len(rest) > 1) and all(len(w) > 1 for w in rest)
     if full:
         initials = "".join(w[0] for w in p["order"])
         for w in rest:
             if len(w) >= 5:
-                offers |= {f"A{initials}|{w}", *_left_out(w)}
-        offers.add(f"B{initials}")
+                offers |= {_brief(f"A{initials}|{w}"), *_left_out(w)}
+        offers.add(_brief(f"B{initials}"))
         if len(p["rest"]) == 2:
             one, two = p["rest"]
-            offers |= {f"J{a}{j}{b}{tail}" for a, b in ((one, two), (two, one)) for j in ("", "and")}
+            offers |= {_brief(f"J{a}{j}{b}{tail}") for a, b in ((one, two), (two, one)) for j in ("", "and")}
     if len(rest) == 1:
-        asks.add(f"J{rest[0]}{tail}")
+        asks.add(_brief(f"J{rest[0]}{tail}"))
         if not p["trades"]:
             asks |= set(_left_out(rest[0]))
     return key, sorted(typing), sorted(offers), sorted(asks)

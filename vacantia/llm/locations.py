@@ -10,7 +10,7 @@ then one whose country is named in the value, then the smallest id.
 
 Defined results: null and blank values give null; a value that means no entry gives 0 ("Client site", a town that isn't
 in the list even if its country is, names of several entries that tie between countries resolve to the smallest id);
-values over 300 characters mean no entry; an empty list gives 0; repeated rows stay repeated; other columns are kept.
+long values are read whole; an empty list gives 0; repeated rows stay repeated; other columns are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ REMOTE = ("remote", "100 remote", "fully remote", "anywhere", "anywhere remote",
 #: Words around a place that don't name it.
 AROUND = r"\b(?:greater|area|region|metro|metropolitan|and surroundings?|surroundings|surrounding area|city of|city|town|nationwide|countrywide|hybrid|on site|onsite|office|offices|in office|\d+ days? office|near|close to|around|outskirts of|all of|all over|anywhere in|everywhere in|throughout|across|based in|in|at|the|whole of|entire|north district|south district|east district|west district|central district|district|downtown|centre|center|county|province|state|country)\b"
 MAX_ENTRIES = 200_000
-MAX_LENGTH = 300
 
 
 def fold(text: str) -> str:
@@ -155,8 +154,6 @@ class Gazetteer:
         return found
 
     def _resolve(self, value: str) -> int:
-        if len(value) > MAX_LENGTH:
-            return 0
         whole = fold(value)
         raw = [p for p in re.split(r"[,/|;()\[\]]|\s[-–—·]\s", value) if p.strip()]
         parts = []

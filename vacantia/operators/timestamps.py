@@ -89,7 +89,7 @@ def with_parsed(df: DataFrame, value: Column, out_date: str, out_micros: str, zo
     zone = F.coalesce(zone, F.lit("UTC")) if zone is not None else F.lit("UTC")
     order = F.coalesce(order, F.lit("DMY")) if order is not None else F.lit("DMY")
     text = value.cast("string")
-    df = df.withColumns({f"{p}zone": zone, f"{p}mdy": order == "MDY", f"{p}parts": F.split(F.regexp_replace(F.when(F.length(text) <= 80, text), PATTERN, REPLACEMENT), SEP)})
+    df = df.withColumns({f"{p}zone": zone, f"{p}mdy": order == "MDY", f"{p}parts": F.split(F.regexp_replace(text, PATTERN, REPLACEMENT), SEP)})
     part = {c: f"nullif(p[{k}], '')" for k, c in enumerate(COMPONENTS)}
     months = "map(" + ", ".join(f"'{name}', {n}" for name, n in MONTH_NUMBER.items()) + ")"
     abbr = "map(" + ", ".join(f"'{name}', {n}" for name, n in ABBREVIATIONS.items()) + ")"
