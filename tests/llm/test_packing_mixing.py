@@ -59,6 +59,32 @@ def test_packing_keeps_every_token(spark, docs, monkeypatch, items, waste):
         P.packed(docs, kinds.withColumn("capacity_tokens", F.lit(0)))
 
 
+@pytest.mark.parametrize("low,high,rounds", [(55, 70, 2), (34, 45, 3), (5, 60, 3)])
+def test_no_task_gets_more_than_its_share(spark, monkeypatch, low, high, rounds):
+    """Items that never or hardly fit together end the rounds instead of meeting in one task."""
+    monkeypatch.setattr(P, "PER_PARTITION", 500)
+    seen, run = [], P._packed_items
+    monkeypatch.setattr(P, "_packed_items", lambda items, counts, n: seen.append((n, items.withColumn("p", F.pmod(F.xxhash64("item", F.lit(n)), F.lit(-(-counts[0] // 500)).cast("bigint"))).groupBy("p").count().agg(F.max("count")).first()[0])) or run(items, counts, n))
+    rng = random.Random(2)
+    texts = spark.createDataFrame([(k, 0, rng.randint(low * 20, high * 20)) for k in range(4000)], "doc_id bigint, copy_no bigint, tokens bigint")
+    kinds = spark.createDataFrame([("k", 2000)], "container_kind string, capacity bigint")
+    rows = P._packed(texts, kinds).collect()
+    bins = defaultdict(int)
+    for r in rows:
+        bins[r.container_id] += r.tokens
+    assert len(rows) == len({r.doc_id for r in rows}) == 4000 and max(bins.values()) <= 2000
+    assert max(n for _, n in seen) < 700 and len(seen) <= rounds + 2
+    if low == 5:
+        assert sum(bins.values()) / (2000 * len(bins)) > 0.97
+
+
+def test_two_capacities_of_one_kind(spark, docs):
+    kinds = spark.createDataFrame([("k", 100), ("k", 300), (None, 50)], "container_kind string, capacity_tokens int")
+    rows = P.packed(docs, kinds).collect()
+    want = sum(n for *_, n in exact(docs))
+    assert sum(r.tokens for r in rows if r.container_kind == "k") == 2 * want and sum(r.tokens for r in rows if r.container_kind is None) == want
+
+
 def test_demands():
     assert M.demands([("a", 0.5, 1, 100), ("b", 0.5, 10, 100)], 200.0) == {"a": 100.0, "b": 100.0}
     assert M.demands([("a", 0.9, 1, 100), ("b", 0.1, 10, 100), ("c", 0.0, 5, 10)], 200.0) == {"a": 100.0, "b": 100.0, "c": 0.0}

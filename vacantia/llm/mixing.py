@@ -53,11 +53,12 @@ def demands(rows: list[tuple[str, float, int, int]], total: float) -> dict[str,
 
 def plan(texts: DataFrame, targets: DataFrame) -> list[tuple]:
     """Demand and weight schedule of each source with a target."""
-    own = {r.source: r.t for r in texts.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("t")).limit(MAX_SOURCES).collect()}
-    total = float(texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     rows = targets.filter("source is not null").groupBy("source").agg(F.max("target_share").alias("w"), F.max("max_repeats").alias("m")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources with a target")
+    # No more rows than there are targets, which have just been counted.
+    own = {r.source: r.t for r in texts.join(targets.select("source").distinct(), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    total = float(texts.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     want = demands([(r.source, r.w or 0.0, r.m or 0, own.get(r.source, 0)) for r in rows], total)
     size, held = sum(want.values()) or 1.0, sum(own.values()) or 1.0
     gap = {r.source: own.get(r.source, 0) / held - want[r.source] / size for r in rows}

@@ -14,7 +14,7 @@ def _group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survivors.fused(_group_rows(spark, sf_dir)).select("group_id", "title_job_id", "source_posting_id", "latest_posting_id")
+    return survivors.survivors(_group_rows(spark, sf_dir)).select("group_id", "title_job_id", "source_posting_id", "latest_posting_id")
 
 
 def p6_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
