@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,21 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has at most one row for each ``key``.
+
+    Keys that hold more than one of ``hot`` rows, so fewer than ``hot`` keys whatever the data, are joined to a broadcast
+    of just their rows of ``table``; all others are joined by shuffle. So no task receives all rows of a frequent key.
+    """
+    total = rows.count()
+    keys = [r[0] for r in rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * hot > total).select(key).collect()] if total > hot else []
+    if not keys:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    often = rows.filter(is_hot).join(F.broadcast(table.filter(F.col(key).isin(keys))), key, "left")
+    return often.unionByName(rows.filter(~is_hot).join(table.filter(~F.col(key).isin(keys)), key, "left"))
+
+
 _shipped: set[str] = set()
 
 
