@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from vacantia.llm import locations as L
@@ -49,3 +50,20 @@ def test_table(spark):
 def test_long_values_are_read():
     g = L.Gazetteer(ENTRIES)
     assert g.resolve("All of Norvania" + " " * 400) == 2 and g.resolve("uppr koregrir, " + "x" * 400) == 4
+
+
+def test_candidates_against_all_distances(spark):
+    rng = random.Random(3)
+    labels = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(4, 9))) for _ in range(60)})
+    entries = [(k, w, "city", "XA", "Norvania", []) for k, w in enumerate(labels)]
+    catalogue = spark.createDataFrame(entries, "location_id bigint, label string, kind string, country_code string, country_name string, aliases array<string>")
+    values = [w[:-1] + "x" for w in labels] + ["", None, labels[0], labels[0]]
+    got = {tuple(r) for r in L.candidates(spark.createDataFrame([(v, 0) for v in values], "value string, distance int"), catalogue).collect()}
+    want = {(v, k, brute(v, w)) for v in set(values) if v for k, w in enumerate(labels) if brute(v, w) <= L.allowed(len(v))}
+    assert got == want
+
+
+def test_a_list_too_large_for_the_workers_raises(monkeypatch):
+    monkeypatch.setattr(L, "MAX_PATH_CHARACTERS", 20)
+    with pytest.raises(ValueError):
+        L.Gazetteer(ENTRIES)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -20,6 +22,35 @@ def test_found(docs):
     assert {r.doc_id for r in T.found(docs).collect()} == {100, 101, 103, 107}
 
 
+def test_counts_against_a_version_with_strings(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = ["We", "need", "2", "3,5", "Java", "- ", "•", "people.", "Tel:", "#go", "end", "(x)", "\n", "Über"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40))) for _ in range(60)]
+    texts = [t for t in texts if t.strip()]
+    want = Counter()
+    for text in texts:
+        before, last, _ = T.split_end(text)
+        split = lambda s: [T.token(w, not k) for k, w in enumerate(s.split())]
+        context = lambda t, k: ("item" if t[0] == "•" else "", *([""] * 2 + t)[k : k + 3])
+        for s in T.stretches(before):
+            t = split(s)
+            for start in {tuple(t[:2]), (t[0],)}:
+                want["S", start] += 1
+                want["P", start] += s.endswith(T.ENDING)
+            want["E", context(t, len(t) - 1)] += 1
+            want.update(("M", context(t, k)) for k in range(len(t) - 1))
+            want.update(("W", T.bare(w)) for w in s.split())
+        t = split(last)
+        want.update(("M", context(t, k)) for k in range(len(t) - 1))
+        want.update(("W", T.bare(w)) for w in (last.split() if T.complete(last) else last.split()[:-1]))
+        want["L", tuple(t[:2]), tuple(t[-3:])] += 1 if t else 0
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "source": "s", "h": 0, "text": texts})
+    for room in (T.AT_ONCE, 50):
+        monkeypatch.setattr(T, "AT_ONCE", room)
+        docs, counts = T.measured(iter([frame]))
+        assert sorted(counts["n"]) == sorted(n for n in want.values() if n) and len(docs) == len(texts)
+
+
 def test_rates_and_empty(docs):
     got = {r.source: (r.texts, r.cut) for r in T.rates(docs).collect()}
     assert got["board"] == (38, 3) and got[None] == (1, 1) and got["x"] == (2, 1)

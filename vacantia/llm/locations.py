@@ -17,19 +17,27 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.tables import cut_lineage, lookup, spread
+
 #: Short forms of parts of place names.
 SHORT = {"saint": ("st", "ste", "snt"), "port": ("pt", "prt"), "mount": ("mt", "mnt", "mtn"), "upper": ("upr", "uppr", "up"), "lower": ("lwr", "lr", "low"), "harbor": ("hbr", "harbour", "hrb", "hb")}
 #: What people write for work without a place.
 REMOTE = ("remote", "100 remote", "fully remote", "anywhere", "anywhere remote", "work from home", "working from home", "wfh", "home office", "homeoffice", "telework", "teleworking", "work remotely", "remotely", "remote work", "remote working", "full remote", "remote only", "remote first", "from home", "home based", "telecommute", "telecommuting", "remoto", "distributed")
 #: Words around a place that don't name it.
-AROUND = r"\b(?:greater|area|region|metro|metropolitan|and surroundings?|surroundings|surrounding area|city of|city|town|nationwide|countrywide|hybrid|on site|onsite|office|offices|in office|\d+ days? office|near|close to|around|outskirts of|all of|all over|anywhere in|everywhere in|throughout|across|based in|in|at|the|whole of|entire|north district|south district|east district|west district|central district|district|downtown|centre|center|county|province|state|country)\b"
+AROUND = re.compile(r"\b(?:greater|area|region|metro|metropolitan|and surroundings?|surroundings|surrounding area|city of|city|town|nationwide|countrywide|hybrid|on site|onsite|office|offices|in office|\d+ days? office|near|close to|around|outskirts of|all of|all over|anywhere in|everywhere in|throughout|across|based in|in|at|the|whole of|entire|north district|south district|east district|west district|central district|district|downtown|centre|center|county|province|state|country)\b")
+POSTCODE = re.compile(r"\b\d{3,6}\b")
 MAX_ENTRIES = 200_000
+#: Characters of all paths of the list; some 14 bytes each are held by every worker process.
+MAX_PATH_CHARACTERS = 16_000_000
+#: Phrases remembered in a worker process; only saves time.
+KEEP_PHRASES = 200_000
 
 
 def fold(text: str) -> str:
@@ -38,41 +46,76 @@ def fold(text: str) -> str:
     return re.sub(r"[^\w]+|_+", " ", text).strip()
 
 
+def without_around(text: str) -> str:
+    """A folded phrase without postcode and words that stand around a place."""
+    return " ".join(AROUND.sub(" ", POSTCODE.sub(" ", text)).split())
+
+
 def allowed(length: int) -> int:
     """Edits a candidate of this many characters may have."""
     return 0 if length < 4 else 1 if length < 16 else 2
 
 
 class Trie:
-    """Paths to entries, searched with a Levenshtein automaton."""
+    """Paths to entries, searched with a Levenshtein automaton. Nodes lie in three arrays in order of their depth, so that
+    the children of a node are neighbours: some 14 bytes a node instead of a table each."""
 
-    def __init__(self) -> None:
-        self.root: dict = {}
+    def __init__(self, pairs: Iterable[tuple[str, int]] = ()) -> None:
+        self.pairs: list[tuple[str, int]] | None = list(pairs)
 
     def add(self, path: str, entry: int) -> None:
-        node = self.root
-        for c in path:
-            node = node.setdefault(c, {})
-        node.setdefault("", set()).add(entry)
+        self.pairs.append((path, entry))
+
+    def _freeze(self) -> None:
+        """Lays the nodes out; from here on the trie only answers."""
+        every, self.pairs = sorted(set(self.pairs)), None
+        if (size := sum(len(p) for p, _ in every)) > MAX_PATH_CHARACTERS:
+            raise ValueError(f"the paths of the reference list have {size} characters, over {MAX_PATH_CHARACTERS}")
+        self.start, letters, self.entries = array("i"), [""], {}
+        level, depth, made = [(0, len(every))], 0, 1
+        while level:
+            below = []
+            for low, high in level:
+                self.start.append(made)
+                ends = low
+                while ends < high and len(every[ends][0]) == depth:
+                    ends += 1
+                if ends > low:
+                    self.entries[len(self.start) - 1] = tuple(e for _, e in every[low:ends])
+                at = ends
+                while at < high:
+                    c, to = every[at][0][depth], at
+                    while to < high and every[to][0][depth] == c:
+                        to += 1
+                    letters.append(c)
+                    below.append((at, to))
+                    made += 1
+                    at = to
+            level, depth = below, depth + 1
+        self.start.append(made)
+        self.letter = "\0" + "".join(letters[1:])
 
     def search(self, word: str, most: int) -> list[tuple[int, int]]:
         """(distance, entry) of all entries with a path within ``most`` edits of ``word``, each at its least distance."""
+        if self.pairs is not None:
+            self._freeze()
         best: dict[int, int] = {}
+        start, letter, entries = self.start, self.letter, self.entries
         n, far = len(word), most + 1
         # A state is a node, its depth, the character that led to it and the last two rows, each only of the cells within
         # ``most`` of the diagonal: row[j] is the distance of the path to the first depth - most + j characters.
         width = 2 * most + 1
         first = [max(0, j - most) if j >= most else far for j in range(width)]
-        stack = [(self.root, 0, "", None, first)]
+        stack = [(0, 0, "", None, first)]
         while stack:
             node, depth, last, before, row = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    j = n - depth + most
-                    if 0 <= j < width and row[j] <= most:
-                        for e in child:
-                            best[e] = min(best.get(e, far), row[j])
-                    continue
+            if node in entries:
+                j = n - depth + most
+                if 0 <= j < width and row[j] <= most:
+                    for e in entries[node]:
+                        best[e] = min(best.get(e, far), row[j])
+            for child in range(start[node], start[node + 1]):
+                c = letter[child]
                 new, low, k = [far] * width, far, depth + 1 - most
                 for j in range(width):
                     if 0 <= k <= n:
@@ -113,16 +156,17 @@ class Gazetteer:
     def __init__(self, entries: list[tuple]) -> None:
         if len(entries) > MAX_ENTRIES:
             raise ValueError(f"the reference list has over {MAX_ENTRIES} entries")
-        self.trie, self.kind, self.code, self.words, self.codes, self.names = Trie(), {}, {}, {}, {}, {}
+        self.kind, self.code, self.codes, self.names = {}, {}, {}, {}
+        pairs: list[tuple[str, int]] = []
         for entry, label, kind, code, country, aliases in entries:
             self.kind[entry], self.code[entry] = kind, code
-            for path in paths(label, aliases) | (set(REMOTE) if kind == "remote" else set()):
-                self.trie.add(path, entry)
+            pairs += [(path, entry) for path in paths(label, aliases) | (set(REMOTE) if kind == "remote" else set())]
             if code:
                 self.codes[code.casefold()] = code
             if country:
                 self.names[fold(country)] = code
-        self.known: dict[str, int] = {}
+        self.trie = Trie(pairs)
+        self.trie.search("", 0)  # laid out on the driver, so that workers receive arrays
         self.seen: dict[str, list[tuple[int, int]]] = {}
 
     def near(self, phrase: str) -> list[tuple[int, int]]:
@@ -130,7 +174,7 @@ class Gazetteer:
             return []
         found = self.seen.get(phrase)
         if found is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > KEEP_PHRASES:
                 self.seen.clear()
             hits = self.trie.search(phrase, 0) or self.trie.search(phrase, allowed(len(phrase)))
             found = self.seen[phrase] = [h for h in hits if h[0] == hits[0][0]]
@@ -145,25 +189,33 @@ class Gazetteer:
                 return self.code[e]
         return None
 
-    def resolve(self, value: str) -> int:
-        found = self.known.get(value)
-        if found is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            found = self.known[value] = self._resolve(value)
-        return found
-
-    def _resolve(self, value: str) -> int:
+    def parts(self, value: str) -> list[tuple[str, str]]:
+        """The parts of a value between separators, each as it is and without postcode and words around a place."""
+        out = []
+        for part in re.split(r"[,/|;()\[\]]|\s[-–—·]\s", value):
+            if part.strip():
+                text = fold(part)
+                out.append((text, without_around(text)))
+        return out
+
+    def options(self, value: str, parts: list[tuple[str, str]]) -> list[list[str]]:
+        """The candidate phrases of a value; of those in one list the first that is found counts."""
         whole = fold(value)
-        raw = [p for p in re.split(r"[,/|;()\[\]]|\s[-–—·]\s", value) if p.strip()]
-        parts = []
-        for part in raw:
-            text = fold(part)
-            plain = re.sub(r"\s+", " ", re.sub(AROUND, " ", re.sub(r"\b\d{3,6}\b", " ", text))).strip()
-            parts.append((text, plain))
         # Two parts may be one name in reverse order.
-        options = [[whole, re.sub(r"\s+", " ", re.sub(AROUND, " ", re.sub(r"\b\d{3,6}\b", " ", whole))).strip()]] + [list(p) for p in parts]
-        options += [[f"{a[0]} {b[0]}"] for a, b in zip(parts, parts[1:])]
+        return [[whole, without_around(whole)]] + [list(p) for p in parts] + [[f"{a[0]} {b[0]}"] for a, b in zip(parts, parts[1:])]
+
+    def within(self, value: str) -> list[tuple[int, int]]:
+        """(distance, entry) of every entry within the distance of a candidate phrase, nearest first."""
+        best: dict[int, int] = {}
+        for phrase in {p for option in self.options(value, self.parts(value)) for p in option if p}:
+            for d, e in self.trie.search(phrase, allowed(len(phrase))):
+                best[e] = min(d, best.get(e, d))
+        return sorted((d, e) for e, d in best.items())
+
+    def resolve(self, value: str) -> int:
+        whole = fold(value)
+        parts = self.parts(value)
+        options = self.options(value, parts)
         codes, places, countries, remote = set(), [], [], []
         unknown = []
         for text, plain in parts:
@@ -208,8 +260,23 @@ def resolver(index: Gazetteer):
 
 
 def resolved(df: DataFrame, catalogue: DataFrame, column: str, out: str = "location_id") -> DataFrame:
-    """``df`` with the id of the entry meant by ``column``."""
-    return df.withColumn(out, resolver(gazetteer(catalogue))(F.col(column).cast("string")))
+    """``df`` with the id of the entry meant by ``column``. Each distinct value is searched once and looked up again."""
+    values = df.select(F.col(column).cast("string").alias("__value")).filter("__value is not null").distinct()
+    answers = spread(values, "__value").select("__value", resolver(gazetteer(catalogue))("__value").alias(out))
+    return lookup(df.withColumn("__value", F.col(column).cast("string")), cut_lineage(answers), "__value").drop("__value")
+
+
+def candidates(values: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(value, location_id, distance) of every entry within the distance of a phrase of each distinct value."""
+    index = gazetteer(catalogue)
+
+    @F.pandas_udf("array<struct<distance:int,location_id:bigint>>")
+    def near(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([[{"distance": d, "location_id": e} for d, e in index.within(v)] for v in s])
+
+    rows = spread(values.select("value").filter(F.col("value").rlike(r"(?U)\S")).distinct(), "value")
+    return rows.select("value", F.explode(near("value")).alias("c")).select("value", "c.location_id", "c.distance")
 
 
 def found(jobs: DataFrame, public: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter("location_id = 0").select("location", "n")
 
 
+def p7_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry within the distance of each typed value."""
+    values = read(spark, sf_dir, "jobs").select("location").unionByName(read(spark, sf_dir, "public_postings").select("location"))
+    return locations.candidates(values.withColumnRenamed("location", "value"), read(spark, sf_dir, "location_catalogue"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(read(spark, sf_dir, "job_postings"), read(spark, sf_dir, "source_messages"))
 
@@ -92,5 +98,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(*mixing.mixed(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")))
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_found": p3_found, "p3_rendered": p3_rendered, "p5_found": p5_found, "p10_found": p10_found, "p10_rates": p10_rates, "p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_found": p3_found, "p3_rendered": p3_rendered, "p5_found": p5_found, "p10_found": p10_found, "p10_rates": p10_rates, "p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p7_candidates": p7_candidates}
 ORACLE: dict[str, str] = {}

@@ -10,7 +10,10 @@ Endings: over all documents it is counted how sentences end, by their first word
 last words. The last stretch of a text (marks such as "…" or "(more)" and links put aside) so gets the odds of being
 complete; a last word that nowhere else stands complete is cut. Both log odds are added.
 
-Counts are aggregations over all documents, their tables are joined by equality, and no text leaves its row.
+Both come from one pass over the texts (``measured``): it turns words into 64-bit numbers, so that counts of words and
+word sequences are made by array operations and move as two numbers each. The numbers an ending asks for are looked up in
+the counts by equality (``tables.lookup``: keys asked by many documents apart), and no text leaves its row. The lengths
+of a source meet in one task as a histogram, whose size is bounded by the longest text.
 
 Defined results: null and blank texts aren't cut; a null source is a source of its own; very long texts are read whole;
 repeated rows count as often as they occur; an empty table gives an empty result; other columns are kept.
@@ -20,59 +23,72 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from vacantia.tables import cut_lineage, spread
+from vacantia.tables import cut_lineage, lookup, spread
 
 # Marks and links that may follow a cut.
-MARK = re.compile(r"(?:\s*(?:\[(?:…|\.\.\.)\]|\((?:more|mehr|suite|más|continued)\)|(?:…|\.\.\.)?\s*(?:Show|Read|See) more\.?|…|\.\.\.))+\s*$")
-LINK = re.compile(r"\n\s*(?:[^\W\d_][\w ]{0,20}[:>-]\s*)?https?://\S+\s*$")
-INLINE_LINK = re.compile(r"\s+https?://\S+\s*$")
+MARK = re.compile(r"(?:\[(?:…|\.\.\.)\]|\((?:more|mehr|suite|más|continued)\)|(?:(?:…|\.\.\.)\s*)?(?:Show|Read|See) more\.?|…|\.\.\.)$")
+LONGEST_MARK = 16
+LINK = re.compile(r"\s*(?:[^\W\d_][\w ]{0,20}[:>-]\s*)?https?://\S+$")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=[^\W\d_a-z])")
 ENDING = (".", "!", "?", ".)", "!)", "?)", ":", ".\"", ".”")
-BULLET = re.compile(r"^\s*(?:[-*•▪]|\d+[.)])\s+")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 #: The log odds above which a text counts as cut.
 LEAST_ODDS = 0.0
+#: Characters that are turned into numbers at once; bounds the memory of a task, changes no count.
+AT_ONCE = 2_000_000
 
 
-def tokens(stretch: str) -> list[str]:
-    """Words with their punctuation; numbers and names of things are classes."""
-    out = []
-    for k, w in enumerate(stretch.split()):
-        if not k and w in {"-", "*", "•", "▪"}:
-            out.append("•")
-            continue
-        w = re.sub(r"\d+(?:[.,]\d+)*", "0", w)
-        if k and w[:1].isupper():
-            w = "X" + re.sub(r"[\w+#-]", "", w)
-        out.append(w)
-    return out
+def token(word: str, first: bool) -> str:
+    """A word with its punctuation; numbers and names of things are classes, except at the start."""
+    if first and word in {"-", "*", "•", "▪"}:
+        return "•"
+    word = NUMBER.sub("0", word)
+    return word if first or not word[:1].isupper() else "X" + re.sub(r"[\w+#-]", "", word)
 
 
 def bare(word: str) -> str:
     return word.strip(".,;:!?()[]*\"'“”…").casefold()
 
 
+def _without_marks(body: str) -> str:
+    """A text without the marks at its end; a text that is nothing else keeps them."""
+    out = body
+    while True:
+        at = max(0, len(out) - LONGEST_MARK)
+        m = MARK.search(out, at)
+        if not m:
+            return out
+        cut = out[: m.start()].rstrip()
+        if not cut:
+            return body
+        out = cut
+
+
 def split_end(text: str) -> tuple[str, str, bool]:
     """The text without its last stretch, the last sentence or line, and whether a mark of a cut followed it."""
     body, marked = text.rstrip(), False
     for _ in range(3):
-        cut = LINK.sub("", body)
-        if cut == body:
-            cut = INLINE_LINK.sub("", body)
-        cut = cut.rstrip()
-        if (m := MARK.search(cut)) and m.start():
-            cut, marked = cut[: m.start()].rstrip(), True
-        if cut == body or not cut:
+        line_at = body.rfind("\n")
+        cut = body
+        if line_at >= 0 and LINK.match(body, line_at):
+            cut = body[:line_at].rstrip()
+        else:
+            word = body.rsplit(None, 1)[-1] if body else ""
+            if len(word) < len(body) and word.startswith(("http://", "https://")):
+                cut = body[: len(body) - len(word)].rstrip()
+        bare_cut = _without_marks(cut)
+        marked = marked or bare_cut != cut
+        if bare_cut == body or not bare_cut:
             break
-        body = cut
+        body = bare_cut
     line = body.rsplit("\n", 1)[-1]
     last = SENTENCE.split(line)[-1].strip()
     return body[: len(body) - len(last)], last, marked
@@ -84,68 +100,121 @@ def complete(stretch: str) -> bool:
 
 
 def stretches(text: str) -> list[str]:
-    return [s.strip() for line in text.split("\n") for s in SENTENCE.split(line) if s.strip()]
-
-
-def context(t: list[str], k: int) -> str:
-    """The three words up to number k, those of list items apart."""
-    return ("• " if t[0] == "•" else "") + " ".join(t[max(0, k - 2) : k + 1])
-
-
-def outline(t: list[str]) -> str:
-    """How a stretch begins and ends."""
-    return " ".join([*t[:2], "…", *t[-3:]])
-
-
-def last_keys(stretch: str) -> dict[str, str]:
-    """The keys under which the counts of a last stretch are found."""
-    t = tokens(stretch) or [""]
-    here = context(t, len(t) - 1)
-    return {"S": " ".join(t[:2]), "E": here, "M": here, "W": bare(stretch.split()[-1]) if stretch.split() else "", "L": outline(t)}
-
-
-def count_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts over all texts, added up within each batch before the shuffle: how stretches begin and whether they end with
-    a full stop (S, P), their last three words (E), three words before others (M), words before others (W), outlines of last stretches (L)."""
+    return [s for line in text.split("\n") for s in map(str.strip, SENTENCE.split(line)) if s]
+
+
+def number(word: str) -> int:
+    """The same 64-bit number in every process; never 0, which stands for no word."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") or 1
+
+
+def key(kind: str, *parts: np.ndarray) -> np.ndarray:
+    """The numbers of sequences of words; their order counts."""
+    h = np.full(len(parts[0]), 0x9E3779B97F4A7C15 ^ (ord(kind) << 32), np.uint64)
+    for p in parts:
+        h = (h ^ p) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+BULLET = np.uint64(number("•"))
+
+
+class Words:
+    """The words of many stretches as numbers: ``token`` (by place in the stretch) and ``bare``, with the bounds of the stretches."""
+
+    def __init__(self, all_stretches: list[str]) -> None:
+        split = [s.split() for s in all_stretches]
+        self.size = np.fromiter(map(len, split), np.int64, len(split))
+        self.stop = np.fromiter((s.endswith(ENDING) for s in all_stretches), bool, len(split))
+        code, words = pd.factorize(np.array([w for s in split for w in s], dtype=object))
+        as_numbers = lambda f: np.fromiter((number(f(w)) for w in words), np.uint64, len(words))
+        self.end = np.cumsum(self.size)
+        self.begin = self.end - self.size
+        self.stretch = np.repeat(np.arange(len(split)), self.size)
+        self.place = np.arange(len(code)) - self.begin[self.stretch]
+        self.token = as_numbers(lambda w: token(w, False))[code] if len(code) else np.zeros(0, np.uint64)
+        heads = self.begin[self.size > 0]
+        first = {c: number(token(words[c], True)) for c in set(code[heads].tolist())}
+        self.token[heads] = np.fromiter((first[c] for c in code[heads].tolist()), np.uint64, len(heads))
+        self.bare = as_numbers(bare)[code] if len(code) else np.zeros(0, np.uint64)
+
+    def back(self, at: np.ndarray, steps: int) -> np.ndarray:
+        """The word so many places before, 0 beyond the start of the stretch."""
+        return np.where(self.place[at] >= steps, self.token[np.maximum(at - steps, 0)], np.uint64(0))
+
+    def context(self, kind: str, at: np.ndarray) -> np.ndarray:
+        """The three words up to these; those of list items apart."""
+        item = np.where(self.token[self.begin[self.stretch[at]]] == BULLET, BULLET, np.uint64(0))
+        return key(kind, item, self.back(at, 2), self.back(at, 1), self.token[at])
+
+    def start(self, kind: str, s: np.ndarray, words: int) -> np.ndarray:
+        second = np.where(self.size[s] > 1, self.token[np.minimum(self.begin[s] + 1, max(0, len(self.token) - 1))], np.uint64(0))
+        return key(kind, self.token[self.begin[s]], second if words > 1 else np.zeros(len(s), np.uint64))
+
+    def outline(self, s: np.ndarray) -> np.ndarray:
+        """How stretches begin and end."""
+        last = self.end[s] - 1
+        second = np.where(self.size[s] > 1, self.token[np.minimum(self.begin[s] + 1, max(0, len(self.token) - 1))], np.uint64(0))
+        return key("L", self.token[self.begin[s]], second, self.back(last, 2), self.back(last, 1), self.token[last])
+
+
+def _counts(texts: list[tuple[str, str, bool]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of split texts the keys that are counted, and the six keys that each text's last stretch asks for: how stretches
+    begin and whether they end with a full stop (S, P), their last three words (E), three words before others (M), words
+    before others (W), outlines of last stretches (L)."""
+    inner = [stretches(before) for before, _, _ in texts]
+    flat = [s for part in inner for s in part]
+    n = len(flat)
+    w = Words(flat + [last for _, last, _ in texts])
+    full = np.flatnonzero(w.size[:n] > 0)
+    begins = np.flatnonzero((np.arange(len(w.size)) >= n) & (w.size > 0))
+    ends = w.end[full] - 1
+    closed = np.array([complete(last) for _, last, _ in texts], bool)
+    is_end = np.zeros(len(w.token), bool)
+    is_end[w.end[w.size > 0] - 1] = True
+    of_last = w.stretch >= n
+    said = ~is_end | ~of_last
+    said[w.end[begins] - 1] = closed[begins - n]
+    one, two = w.start("S", full, 1), w.start("S", full, 2)
+    longer = w.size[full] > 1
+    stops = w.stop[full]
+    counted = [one, two[longer], w.start("P", full[stops], 1), w.start("P", full[stops & longer], 2), w.context("E", ends), w.context("M", np.flatnonzero(~is_end)), key("W", w.bare[said]), w.outline(begins)]
+    asked = np.zeros((len(texts), 6), np.uint64)
+    at = w.end[begins] - 1
+    asked[begins - n] = np.stack([w.start("S", begins, 2), w.start("P", begins, 2), w.context("E", at), w.context("M", at), key("W", w.bare[at]), w.outline(begins)], 1)
+    return counted, asked
+
+
+MEASURED = "doc_id bigint, source string, h bigint, closed boolean, marked boolean, body bigint, keys array<bigint>, k bigint, n bigint"
+
+
+def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a text: whether it closes, whether a mark follows, its length before marks and the keys it asks for; then
+    the counts of all keys in the batch (``k``, ``n``), added up before they are shuffled."""
     for pdf in frames:
-        n: Counter[str] = Counter()
-        for text in pdf["text"]:
-            if not isinstance(text, str) or not text.strip():
-                continue
-            before, last, _ = split_end(text)
-            for s in stretches(before):
-                t = tokens(s)
-                stop = s.endswith(ENDING)
-                for start in {" ".join(t[:2]), t[0]}:
-                    n["S" + start] += 1
-                    n["P" + start] += stop
-                n["E" + context(t, len(t) - 1)] += 1
-                n.update("M" + context(t, k) for k in range(len(t) - 1))
-                n.update("W" + bare(w) for w in s.split())
-            t, words = tokens(last), last.split()
-            for k in range(len(t) - 1):
-                n["M" + context(t, k)] += 1
-                n["W" + bare(words[k])] += 1
-            if complete(last) and words:
-                n["W" + bare(words[-1])] += 1
-            if t:
-                n["L" + outline(t)] += 1
-        yield pd.DataFrame({"k": list(n), "n": list(n.values())}, columns=["k", "n"])
-
-
-ENDS = T.StructType([T.StructField("closed", T.BooleanType()), T.StructField("marked", T.BooleanType()), T.StructField("body", T.LongType()), T.StructField("keys", T.ArrayType(T.StringType()))])
-
-
-@F.pandas_udf(ENDS)
-def ends(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Whether each text closes, whether a mark follows, the length before marks, and the keys of its last stretch."""
-    for s in batches:
-        rows = []
-        for text in s:
-            before, last, marked = split_end(text)
-            k = last_keys(last)
-            rows.append((complete(last), marked, len(before) + len(last), ["S" + k["S"], "P" + k["S"], "E" + k["E"], "M" + k["M"], "W" + k["W"], "L" + k["L"]]))
-        yield pd.DataFrame(rows, columns=["closed", "marked", "body", "keys"])
+        ends = [split_end(t) for t in pdf["text"]]
+        counted, asked = [], []
+        at = 0
+        while at < len(ends):
+            to, room = at, AT_ONCE
+            while to < len(ends) and (room > 0 or to == at):
+                room -= len(ends[to][0]) + len(ends[to][1])
+                to += 1
+            c, a = _counts(ends[at:to])
+            k, n = np.unique(np.concatenate(c), return_counts=True)
+            counted.append((k, n))
+            asked.append(a)
+            at = to
+        if ends:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "source": pdf["source"], "h": pdf["h"].astype("Int64"), "closed": [complete(e[1]) for e in ends], "marked": [e[2] for e in ends], "body": [len(e[0]) + len(e[1]) for e in ends],
+                                "keys": list(np.concatenate(asked).view(np.int64)), "k": pd.array([None] * len(ends), "Int64"), "n": pd.array([None] * len(ends), "Int64")})
+        if counted:
+            k, back = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([n for _, n in counted])).astype(np.int64)
+            none = [None] * len(k)
+            yield pd.DataFrame({"doc_id": pd.array(none, "Int64"), "source": none, "h": pd.array(none, "Int64"), "closed": none, "marked": none, "body": pd.array(none, "Int64"), "keys": none, "k": k.view(np.int64), "n": n})
 
 
 def fit_censored(hist: pd.DataFrame, rounds: int = 12, least: int = 8, ratio: float = 6.0) -> pd.DataFrame:
@@ -193,10 +262,12 @@ def limits(docs: DataFrame) -> DataFrame:
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, cut, odds, posterior): one row for each row with text."""
     texts = spread(documents.select("doc_id", "source", "text").filter(F.col("text").rlike(r"(?U)\S")), "doc_id")
-    counts = texts.select("text").mapInPandas(count_keys, "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
-    docs = cut_lineage(texts.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), ends("text").alias("e")).select("doc_id", "source", "h", "e.*"))
-    keyed = docs.filter(~F.col("closed")).select("doc_id", "h", F.explode("keys").alias("k")).distinct()
-    found_counts = keyed.join(counts, "k").groupBy("doc_id", "h").agg(*(F.coalesce(F.max(F.when(F.substring("k", 1, 1) == c, F.col("n"))), F.lit(0)).alias(c) for c in "SPEMWL"))
+    rows = texts.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.xxhash64("text").alias("h"), "text")
+    both = cut_lineage(rows.mapInPandas(measured, MEASURED))
+    counts = both.filter("k is not null").groupBy("k").agg(F.sum("n").alias("n"))
+    docs = both.filter("k is null").drop("k", "n")
+    keyed = docs.filter(~F.col("closed")).select("doc_id", "h", F.posexplode("keys").alias("which", "k")).distinct()
+    found_counts = lookup(keyed, counts, "k").groupBy("doc_id", "h").agg(*(F.coalesce(F.max(F.when(F.col("which") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in enumerate("SPEMWL")))
     rows = docs.drop("keys").join(found_counts, ["doc_id", "h"], "left").join(limits(docs), ["source", "body"], "left").fillna(0, list("SPEMWL")).fillna(0.0, ["posterior"])
     unknown = F.when(F.col("W") == 0, 3.0).otherwise(0.0)
     line_end = F.log((F.col("M") + 0.5) / (F.col("E") + 0.5))  # a phrase that always goes on, or never does
