@@ -1,4 +1,5 @@
 from vacantia.llm import boilerplate as B
+from vacantia.llm import boilerplate_train as BT
 from vacantia.llm import layout as L
 from vacantia.llm import residue as R
 
@@ -27,8 +28,8 @@ def test_lines_of_a_page():
 
 
 def test_languages_and_decoys():
-    assert all(map(B.furniture, ["Nous utilisons des cookies pour mesurer les visites.", "Acme nutzt Cookies, um Besuche zu messen.", "Acme and its partners store cookies.", "Saved searches > Help > About us", "Powered by Acme"]))
-    assert not any(map(B.furniture, ["You own the navigation menu and footer of the public site, written in Go.", "Part of the work is the newsletter sign-up flow, which runs on Java.", "Data Engineer", "Your profile"]))
+    assert all(map(BT.furniture, ["Nous utilisons des cookies pour mesurer les visites.", "Acme nutzt Cookies, um Besuche zu messen.", "Acme and its partners store cookies.", "Saved searches > Help > About us", "Powered by Acme"]))
+    assert not any(map(BT.furniture, ["You own the navigation menu and footer of the public site, written in Go.", "Part of the work is the newsletter sign-up flow, which runs on Java.", "Data Engineer", "Your profile"]))
 
 
 HTML = """<html><head><title>x</title><style>p{}</style></head><body><script>var a=1</script><h1>Role</h1><p>One <b>bold</b>
@@ -55,7 +56,7 @@ def test_tables(spark):
     got = {tuple(r) for r in B.found(details, R.marker(details)).collect()}
     assert {n for j, n in got if j == 6} == set(B.outside(PAGE)) and {j for j, _ in got} == {6}
     assert R.found(details.limit(0)).count() == 0 and B.found(details.limit(0), R.marker(details.limit(0))).count() == 0
-    assert details.select(L.rendered("description_text").alias("t"), B.main_body("description_text").alias("m")).count() == len(rows)
+    assert details.select(L.rendered("description_text").alias("t"), B.main_body({})("description_text").alias("m")).count() == len(rows)
 
 
 def test_weights_count_the_tokens_that_are_judged(spark):
@@ -63,3 +64,23 @@ def test_weights_count_the_tokens_that_are_judged(spark):
     idf, other = R.idf_table(details)
     weight = lambda n: R.math.log(6 / (n + 1)) + 1
     assert [idf[t] for t in (R.SLOT, "0", "404", "error", "lorem")] == [weight(n) for n in (2, 2, 1, 1, 0)] and other == R.math.log(6) / 2 + 1
+
+
+def test_frame_and_links_of_markup():
+    page = "<nav><a href=/>Home</a><a href=/jobs>Zorbel</a></nav><main><h1>Data Engineer</h1><p>You <a href=x>build</a> tools for planning.</p></main><footer>Vintrel</footer>"
+    lines, frame = L.render_blocks(page)
+    assert {x: f for (_, x), f in zip(lines, frame) if x} == {"HomeZorbel": True, "Data Engineer": False, "You build tools for planning.": False, "Vintrel": True}
+    assert L.render("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+
+
+def test_frequencies_and_long_lines():
+    [c] = B.line_counts([["a", "b", "a"], ["a"], []])
+    assert {k: (n, t, b) for k, n, t, b in c.itertuples(index=False)} == {B.line_number("a"): (2, 0.0, 2.0), B.line_number("b"): (1, 1.0, 1.0)}
+    assert B.frequent([(5, 2, 0.0, 2.0), (6, 1, 1.0, 1.0)], 2).keys() == {5}
+    assert B.outside("We plan routes " * 50_000 + ".\n© 2024 Acme " + "and its partners " * 20 + "– all rights reserved") == [2]
+
+
+def test_passages_over_two_lines_and_of_one_word():
+    judge = R.Judge({t: 5.0 for t in R.VOCABULARY}, 5.0)
+    assert judge.page(None, "The page you are looking\ncould not be found.") and not judge.page(None, "The page you are looking\nis about soil.")
+    assert judge.page(None, "zork zork zork zork") and not judge.page(None, "1 2 3 4") and not judge.page(None, "zork zork zork")

@@ -23,6 +23,8 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 INLINE = set("a abbr b bdi bdo big button cite code data dfn em font i img input ins kbd label link mark meta output q s samp select option small span strong strike sub sup textarea time u var wbr br title del picture source iframe object canvas svg path video audio center nobr".split())
 HIDDEN = set("script style template noscript head title iframe object canvas svg select textarea audio video datalist".split())
+#: Elements that hold the navigation and the frame of a page.
+FRAME = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: An opening tag that ends the open elements of these kinds, up to a border.
 IMPLIED = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"td", "th", "tr"}, {"table"}), "tbody": ({"td", "th", "tr", "tbody", "thead"}, {"table"}), "tfoot": ({"td", "th", "tr", "tbody", "thead"}, {"table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "legend", "summary", "figcaption"}
@@ -30,6 +32,10 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|font-size\s*:\s
 MARKUP = re.compile(r"<(?:/?[a-zA-Z]|!--|!doctype)|&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]{2,8});", re.I)
 
 
+#: Deeper elements are laid out as children of the last one that is open; their text is kept.
+DEEPEST = 150
+
+
 class Node:
     __slots__ = ("tag", "children", "hidden", "line", "start")
 
@@ -57,7 +63,7 @@ class Builder(HTMLParser):
         start = int(a["start"]) if tag == "ol" and (a.get("start") or "").isdigit() else 1
         node = Node(tag, line, hidden, start)
         self.stack[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and len(self.stack) < DEEPEST:
             self.stack.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -84,11 +90,19 @@ class Builder(HTMLParser):
 
 
 class Writer:
-    """Lines as (source line, text); ``flow`` collects the text of the open line."""
+    """Lines as (source line, text); ``flow`` collects the text of the open line. ``frame`` holds for each line whether it
+    stands in the frame of the page or is mostly links; ``inside`` and ``links`` are the depths of such elements."""
 
     def __init__(self) -> None:
         self.lines: list[tuple[int, str]] = []
+        self.frame: list[bool] = []
         self.flow, self.at, self.prefix = "", 0, ""
+        self.inside = self.links = self.linked = 0
+
+    def put(self, line: int, text: str) -> None:
+        self.lines.append((line, text))
+        self.frame.append(bool(text) and (self.inside > 0 or 2 * self.linked > len(text)))
+        self.linked = 0
 
     def text(self, data: str, line: int, keep: bool) -> None:
         if keep:
@@ -98,6 +112,7 @@ class Writer:
                 if part:
                     self.at = self.at or line + k
                     self.flow += part
+                    self.linked += len(part) if self.links else 0
                 elif not self.flow:
                     self.at = line + k
             return
@@ -107,18 +122,19 @@ class Writer:
         if data:
             self.at = self.at or line
             self.flow = self.flow + (data[1:] if self.flow.endswith(" ") and data.startswith(" ") else data)
+            self.linked += len(data) if self.links else 0
 
     def close(self, blank: bool = False) -> None:
         text = self.flow if blank else self.flow.strip(" ")
         if text or blank:
-            self.lines.append((self.at, self.prefix + text))
+            self.put(self.at, self.prefix + text)
             self.prefix = " " * len(self.prefix)
         self.flow, self.at = "", 0
 
     def gap(self) -> None:
         self.close()
         if self.lines and self.lines[-1][1]:
-            self.lines.append((0, ""))
+            self.put(0, "")
 
 
 def _write(node: Node, w: Writer, depth: int, keep: bool) -> None:
@@ -135,6 +151,8 @@ def _write(node: Node, w: Writer, depth: int, keep: bool) -> None:
         _table(node, w)
         return
     number = node.start
+    w.inside += tag in FRAME
+    w.links += tag == "a"
     spaced = tag in {"p", "ul", "ol", "dl", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article"} and depth < 2
     if spaced:
         w.gap()
@@ -157,6 +175,8 @@ def _write(node: Node, w: Writer, depth: int, keep: bool) -> None:
         w.gap()
     elif tag in BLOCK:
         w.close()
+    w.inside -= tag in FRAME
+    w.links -= tag == "a"
 
 
 def _table(table: Node, w: Writer) -> None:
@@ -185,24 +205,30 @@ def _table(table: Node, w: Writer) -> None:
     walk(table)
     width = [max((len(r[k]) for _, r in rows if k < len(r)), default=0) for k in range(max((len(r) for _, r in rows), default=0))]
     for line, cells in rows:
-        w.lines.append((line, "  ".join(c.ljust(width[k]) for k, c in enumerate(cells)).rstrip()))
+        w.put(line, "  ".join(c.ljust(width[k]) for k, c in enumerate(cells)).rstrip())
     w.gap()
 
 
-def render_lines(source: str) -> list[tuple[int, str]]:
-    """(source line, text) of the visible lines, blank ones included."""
+def render_blocks(source: str) -> tuple[list[tuple[int, str]], list[bool] | None]:
+    """(source line, text) of the visible lines, blank ones included; and for each line of a page with markup whether it
+    stands in the frame of the page (navigation, header, footer, sidebar, form) or is mostly links."""
     if not MARKUP.search(source):
-        return [(k + 1, line) for k, line in enumerate(source.split("\n"))]
+        return [(k + 1, line) for k, line in enumerate(source.split("\n"))], None
     builder = Builder()
     builder.feed(source)
     builder.close()
     w = Writer()
-    plain = not re.search(r"<(?:p|div|br|li|ul|ol|td|tr|table|h[1-6]|body|html|section)\b", source, re.I)
+    plain = not re.search(r"<(?:p|div|br|li|ul|ol|td|tr|table|h[1-6]|body|html|section|nav|header|footer|main|article|aside)\b", source, re.I)
     _write(builder.root, w, 0, plain)
     w.close()
     while w.lines and not w.lines[-1][1]:
         w.lines.pop()
-    return w.lines
+    return w.lines, w.frame[: len(w.lines)]
+
+
+def render_lines(source: str) -> list[tuple[int, str]]:
+    """(source line, text) of the visible lines, blank ones included."""
+    return render_blocks(source)[0]
 
 
 def render(source: str) -> str:

@@ -61,13 +61,14 @@ def p1_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     details = read(spark, sf_dir, "job_details")
-    return boilerplate.found(details, residue.marker(details))
+    return boilerplate.found(details)
 
 
 def p3_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of each page, and its main body."""
     rows = read(spark, sf_dir, "job_details").filter("description_text is not null")
-    return rows.select("job_id", layout.rendered("description_text").alias("visible_text"), boilerplate.main_body("description_text").alias("main_text"))
+    table, _ = boilerplate.statistics(rows)
+    return rows.select("job_id", layout.rendered("description_text").alias("visible_text"), boilerplate.main_body(table)("description_text").alias("main_text"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Template residue and error-page text, by containment of labelled exemplars.
 
-Exemplars are short passages labelled ``residue`` (placeholders, filler, error messages, script notices) or ``real``
-(genuine sentences about such things). An inverted index leads from a token to the exemplars that hold it. Each page is
-read in passage windows, its title and its lines; tokens are weighted by inverse document frequency, counted over the
-windows of all pages for the tokens of the exemplars. A window is residue if what it shares with a residue exemplar
-covers most of the exemplar and of the window, and no ``real`` exemplar covers more of it. Placeholders of any notation
-are one token, so that an exemplar of that token alone matches them in every sentence.
+Exemplars are passages labelled ``residue`` (placeholders, error messages, script notices), ``filler`` (the usual filler
+text) or ``real`` (genuine sentences about such things). An inverted index leads from a token to the exemplars that hold
+it. Each page is read in passage windows: its title, the parts of the title, its lines and pairs of neighbouring lines.
+Tokens are weighted by inverse document frequency, counted over the windows of all pages for the tokens of the exemplars.
+A window is residue if what it shares with a residue exemplar covers most of the exemplar and of the window, or if most of
+it is contained in a filler exemplar, and no ``real`` exemplar covers more of it. Placeholders of any notation are one
+token, and so is one word over and over; an exemplar of a placeholder alone matches it in every sentence.
 
-Only the counts of the exemplars' own tokens, at most ``MAX_TOKENS``, go to the driver and to the workers.
+Only the counts of the exemplars' own tokens go to the driver and to the workers; a list of exemplars with over
+``MAX_TOKENS`` tokens raises.
 
 Defined results: pages whose texts are both null, empty or blank are kept; very long pages are read whole; repeated
 rows give the same verdict; other columns are kept.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from vacantia.tables import spread
 
 MAX_TOKENS = 5000
-SLOT = "slotslot"
+SLOT, SAME = "slotslot", "samesame"
 WINDOWS = "\u0000"
 #: Notations of placeholders that a template engine or an editor should have filled in.
 PLACEHOLDER = re.compile(
@@ -40,6 +42,7 @@ PLACEHOLDER = re.compile(
 # The labelled exemplars.
 RESIDUE = """
 slotslot
+samesame
 %s %s %s
 [object Object]
 undefined
@@ -145,23 +148,33 @@ Experience with test automation: test, test and test again is our motto.
 JavaScript Developer, Error Pages
 Test Engineer (Template Systems)
 """
-# The words of the usual filler text.
-FILLER = set("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vel massa porta rutrum pretium turpis felis tempus nec libero".split())
+# The words of the usual filler text, as one passage.
+FILLER = ("lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum vel massa porta rutrum pretium turpis felis tempus nec libero",)
 TOKEN = re.compile(r"%s|\[object|[^\W_]+", re.I)
 
 
+#: Every placeholder has one of these characters.
+MARKS = re.compile(r"[{<%@_\[]")
+CODES = {"403", "404", "429", "500", "502", "503", "504"}
+#: A word so often in a row, and nothing else, is one word over and over.
+OVER = 4
+
+
 def tokens(text: str) -> list[str]:
-    """Tokens of a passage: placeholders are one token, numbers other than status codes are one."""
-    plain = PLACEHOLDER.sub(f" {SLOT} ", text)
-    out = []
-    for w in TOKEN.findall(plain.casefold()):
-        if w.isdigit():
-            w = w if w in {"403", "404", "429", "500", "502", "503", "504"} else "0"
-        out.append(w)
+    """Tokens of a passage: placeholders are one token, numbers other than status codes are one, and so is a passage of
+    one word over and over."""
+    plain = PLACEHOLDER.sub(f" {SLOT} ", text) if MARKS.search(text) else text
+    out = [w if not w.isdigit() or w in CODES else "0" for w in TOKEN.findall(plain.casefold())]
+    if len(out) >= OVER and out[0] != "0" and out.count(out[0]) == len(out):
+        return [SAME]
     return out
 
 
-EXEMPLARS = [(set(tokens(e)), True) for e in RESIDUE.strip().split("\n")] + [(set(tokens(e)), False) for e in REAL.strip().split("\n")]
+def _passages(text: str | tuple[str, ...], label: str) -> list[tuple[frozenset[str], str]]:
+    return [(frozenset(tokens(e)), label) for e in (text.strip().split("\n") if isinstance(text, str) else text)]
+
+
+EXEMPLARS = _passages(RESIDUE, "residue") + _passages(REAL, "real") + _passages(FILLER, "filler")
 VOCABULARY = sorted(set().union(*(e for e, _ in EXEMPLARS)))
 INDEX: dict[str, list[int]] = {}
 for _k, (_e, _) in enumerate(EXEMPLARS):
@@ -169,82 +182,105 @@ for _k, (_e, _) in enumerate(EXEMPLARS):
         INDEX.setdefault(_t, []).append(_k)
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def window_counts(titles: Iterable[str | None], texts: Iterable[str | None]) -> Counter:
     """In how many windows each token of the exemplars stands, and under ``WINDOWS`` how many there are."""
-    vocabulary, known, count = frozenset(VOCABULARY), {}, Counter({WINDOWS: 0})
+    lines: Counter = Counter()
+    for part in (titles, texts):
+        for text in part:
+            if isinstance(text, str):
+                lines.update(x for line in text.split("\n") if (x := line.strip()))
+    count, vocabulary = Counter({WINDOWS: sum(lines.values())}), frozenset(VOCABULARY)
+    for line, n in lines.items():
+        for t in vocabulary.intersection(tokens(line)):
+            count[t] += n
+    return count
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
-        for parts in zip(rows["page_title"], rows["description_text"]):
-            for window in "\n".join(p for p in parts if isinstance(p, str)).split("\n"):
-                window = window.strip()
-                if not window:
-                    continue
-                held = known.get(window)
-                if held is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    held = known[window] = vocabulary.intersection(tokens(window))
-                count.update(held)
-                count[WINDOWS] += 1
-    yield pd.DataFrame({"t": list(count.keys()), "n": list(count.values())})
+        count = window_counts(rows["page_title"], rows["description_text"])
+        yield pd.DataFrame({"t": list(count), "n": list(count.values())})
+
+
+def weights(count: dict[str, int]) -> tuple[dict[str, float], float]:
+    """The weight of each token of the exemplars and that of a token unknown to them."""
+    if len(VOCABULARY) > MAX_TOKENS:
+        raise ValueError(f"the exemplars have over {MAX_TOKENS} tokens")
+    total = count.get(WINDOWS, 0)
+    return {t: math.log((total + 1) / (count.get(t, 0) + 1)) + 1 for t in VOCABULARY}, math.log(total + 1) / 2 + 1
 
 
 def idf_table(details: DataFrame) -> tuple[dict[str, float], float]:
-    """The weight of each token of the exemplars and that of a token unknown to them, from the windows of all pages."""
+    """The weights, from the windows of all pages; the counts are those of the exemplars' tokens and no others."""
     rows = spread(details.select("job_id", "page_title", "description_text"), "job_id").select("page_title", "description_text")
     counted = rows.mapInPandas(_counted, "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    count = {r.t: r.n for r in counted.limit(MAX_TOKENS + 1).collect()}
-    total = count.get(WINDOWS, 0)
-    return {t: math.log((total + 1) / (count.get(t, 0) + 1)) + 1 for t in VOCABULARY}, math.log(total + 1) / 2 + 1
+    return weights({r.t: r.n for r in counted.collect()})
+
+
+#: Verdicts remembered in a worker process; only saves time.
+KEEP_WINDOWS = 200_000
 
 
 class Judge:
     """Judges the windows of pages."""
 
-    def __init__(self, idf: dict[str, float], other: float, contain: float = 0.75, cover: float = 0.55) -> None:
-        self.idf, self.other, self.contain, self.cover = idf, other, contain, cover
+    def __init__(self, idf: dict[str, float], other: float, contain: float = 0.75, cover: float = 0.55, filler: float = 0.7) -> None:
+        self.idf, self.other, self.contain, self.cover, self.filler = idf, other, contain, cover, filler
         self.mass = [sum(idf[t] for t in e) for e, _ in EXEMPLARS]
-        self.known: dict[str, bool] = {}
+        self.known: dict[str, tuple[bool, bool]] = {}
 
-    def window(self, text: str) -> bool:
+    def window(self, text: str) -> tuple[bool, bool]:
+        """Whether a window is residue, and whether it may be so together with its neighbour."""
         hit = self.known.get(text)
         if hit is None:
-            if len(self.known) > 200_000:
+            if len(self.known) > KEEP_WINDOWS:
                 self.known.clear()
-            hit = self.known[text] = self._window(text)
+            row = tokens(text)
+            words = set(row)
+            # Only the tokens that exemplars hold can cover a window: without most of it no exemplar can.
+            held = sum(self.idf[w] for w in words if w in self.idf)
+            mass = held + self.other * sum(w not in self.idf for w in words)
+            near = bool(row) and (SLOT in words or held >= self.cover * mass)
+            is_residue, genuine = self._matches(row, words, mass) if near else (False, False)
+            hit = self.known[text] = is_residue, near and not genuine
         return hit
 
-    def _window(self, text: str) -> bool:
-        row = tokens(text)
-        words = set(row)
+    def _matches(self, row: list[str], words: set[str], mass: float) -> tuple[bool, bool]:
+        """Whether a window is residue, and whether it is a genuine sentence about such things."""
         shared: dict[int, float] = {}
         for t in words:
             for k in INDEX.get(t, ()):
                 shared[k] = shared.get(k, 0.0) + self.idf[t]
-        if not shared and not words & FILLER and len(words) != 1:
-            return False
-        if len(row) >= 4 and (sum(w in FILLER for w in row) >= 0.7 * len(row) or len(words) == 1 and row[0] != "0"):
-            return True  # the usual filler text, or one word over and over
-        mass = sum(self.idf.get(t, self.other) for t in words)
-        real = max((s / mass for k, s in shared.items() if not EXEMPLARS[k][1] and s >= 0.5 * self.mass[k]), default=0.0)
+        real = max((s / mass for k, s in shared.items() if EXEMPLARS[k][1] == "real" and s >= 0.5 * self.mass[k]), default=0.0)
         if real >= 0.7:
-            return False
+            return False, True
         for k, s in shared.items():
-            if EXEMPLARS[k][1] and s / self.mass[k] >= self.contain:
-                if SLOT in EXEMPLARS[k][0] and len(EXEMPLARS[k][0]) == 1:
-                    return True
-                if s / mass >= self.cover and s / mass > real:
-                    return True
-        return False
+            words_of, label = EXEMPLARS[k]
+            if label == "filler" and len(row) >= OVER and s >= self.filler * mass:
+                return True, False
+            if label == "residue" and s >= self.contain * self.mass[k]:
+                if len(words_of) == 1 and SLOT in words_of or s >= self.cover * mass and s / mass > real:
+                    return True, False
+        return False, False
 
     def page(self, title: str | None, text: str | None) -> bool:
-        if title and any(self.window(p) for p in [title, *re.split(r" [|·-] ", title)] if p.strip()):
+        if title and any(self.window(p)[0] for p in [title, *re.split(r" [|·-] ", title)] if p.strip()):
             return True
-        return bool(text) and any(self.window(line.strip()) for line in text.split("\n") if line.strip())
+        before = None
+        for line in text.split("\n") if text else ():
+            line = line.strip()
+            if not line:
+                continue
+            is_residue, near = self.window(line)
+            if is_residue or near and before is not None and self.window(f"{before} {line}")[0]:
+                return True
+            before = line if near else None
+        return False
 
 
-def marker(details: DataFrame):
+def marker(details: DataFrame, judge: Judge | None = None):
     """A column function over title and text: whether a page is residue; weights are counted over all of ``details``."""
-    judge = Judge(*idf_table(details))
+    judge = judge or Judge(*idf_table(details))
 
     @F.pandas_udf(T.BooleanType())
     def residue(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
