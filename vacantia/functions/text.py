@@ -126,12 +126,12 @@ def host_within(host: Column, suffixes: list[str]) -> Column:
     return out
 
 
-def expected_https_url(url: Column, host: str, prefix: str = "/") -> Column:
+def expected_https_url(url: Column, host: str | Column, prefix: str = "/") -> Column:
     """A URL of exactly this host, by https, without port and user, below a path; else null."""
     ok = F.lower(F.regexp_extract(url, r"^([a-zA-Z]+)://", 1)) == "https"
     authority = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1)
-    return F.when(ok & (authority == host.lower()) & path.startswith(prefix), url)
+    return F.when(ok & (authority == (host.lower() if isinstance(host, str) else F.lower(host))) & path.startswith(prefix), url)
 
 
 #: Addresses that never are public: local names, and literals of private, loop-back, link-local and reserved ranges.
@@ -250,17 +250,38 @@ def bounded(x: Column, low: float = -1.0, high: float = 1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
+#: A telephone number: at least eight characters, digits at both ends.
+PHONE = r"(?<!\w)\+?\d[\d\s().-]{6,}\d(?!\w)"
+
+
 def scrub_contacts(text: Column) -> Column:
     """E-mail addresses, URLs, telephone numbers and bullets taken out of a line."""
     plain = F.regexp_replace(text, r"(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)+", " ")
     plain = F.regexp_replace(plain, r"(?i)https?://\S+", " ")
-    plain = F.when(plain.rlike(r"(?i)job\s*id"), plain).otherwise(F.regexp_replace(plain, r"(?<!\w)\+?\d[\d ().-]{7,}\d(?!\w)", " "))
+    plain = F.when(plain.rlike(r"(?i)job\s*id"), plain).otherwise(F.regexp_replace(plain, PHONE, " "))
     return collapse(F.regexp_replace(plain, r"^\s*[•●▪*-]\s+", ""))
 
 
+def json_objects(text: Column, schema: str) -> Column:
+    """A JSON array of objects as structs; anything else is an empty array, and so are elements that aren't objects left out."""
+    return F.coalesce(F.filter(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, f"array<struct<{schema}>>")), lambda x: x.isNotNull()), F.array().cast(f"array<struct<{schema}>>"))
+
+
+def greatest_fit(found: Column, fits: dict[str, float]) -> Column:
+    """The best fit of the signals found; null if none has a fit."""
+    table = F.create_map(*[F.lit(x) for kv in fits.items() for x in kv])
+    return F.array_max(F.transform(F.filter(found, lambda s: F.array_contains(F.map_keys(table), s)), lambda s: F.element_at(table, s)))
+
+
+def missing_keys(keys: Column, required: list[str]) -> Column:
+    """The required keys that an array lacks."""
+    return F.array_except(F.array(*map(F.lit, required)), F.coalesce(keys, F.array().cast("array<string>")))
+
+
 def json_strings(text: Column) -> Column:
-    """A JSON array as an array of texts; anything else is an empty array."""
-    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+    """A JSON array as an array of texts; anything else, text after the array too, is an empty array."""
+    whole = F.try_parse_json(text).isNotNull()
+    return F.coalesce(F.when(whole, F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
 def experience_text(low: Column, high: Column) -> Column:

@@ -10,8 +10,10 @@ replay streams over sorted partitions and remembers the jobs of the current comp
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from datetime import date
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,13 +64,41 @@ def _day(text: str | None) -> date | None:
         return None
 
 
+class Position:
+    """The jobs of one position: the first of all, and by day, so that only days within reach are looked at."""
+
+    def __init__(self) -> None:
+        self.jobs: list[int] = []
+        self.days: list[int] = []
+        self.at: dict[int, list[int]] = {}
+
+    def add(self, job: int, day: date | None) -> None:
+        insort(self.jobs, job)
+        self.move(job, None, day)
+
+    def move(self, job: int, old: date | None, new: date | None) -> None:
+        if old is not None:
+            self.at[old.toordinal()].remove(job)
+        if new is not None:
+            n = new.toordinal()
+            if n not in self.at:
+                self.at[n] = []
+                insort(self.days, n)
+            insort(self.at[n], job)
+
+    def near(self, day: date) -> list[list[int]]:
+        """Ascending lists of the jobs of each day within reach."""
+        n = day.toordinal()
+        return [self.at[k] for k in self.days[bisect_left(self.days, n - NEAR_DAYS) : bisect_right(self.days, n + NEAR_DAYS)] if self.at[k]]
+
+
 class Replay:
     """The jobs of one component."""
 
     def __init__(self) -> None:
         self.postings: dict[str, int] = {}
         self.urls: dict[str, int] = {}
-        self.positions: dict[str, list[int]] = {}
+        self.positions: dict[str, Position] = {}
         self.jobs: dict[int, dict] = {}
 
     def add(self, r) -> tuple[int, bool, bool]:
@@ -80,33 +110,39 @@ class Replay:
                 job = self.at_position(r)
             if job is None:
                 job, new = int(r.arrival_no), True
-                self.jobs[job] = {"url": r.job_url, "url_key": r.url_key, "day": r.posted_on, "groups": set()}
+                self.jobs[job] = {"url": r.job_url, "url_key": r.url_key, "day": _day(r.posted_on), "groups": set(), "positions": set()}
         state = self.jobs[job]
         if not new:
             if r.job_url and (not state["url"] or (r.source or "").strip().casefold() in PREFERRED_SOURCES):
                 state["url"], state["url_key"] = r.job_url, r.url_key
-            if r.posted_on:
-                state["day"] = r.posted_on
+            if r.posted_on and (day := _day(r.posted_on)) != state["day"]:
+                for key in state["positions"]:
+                    self.positions[key].move(job, state["day"], day)
+                state["day"] = day
         if r.url_key:
             self.urls.setdefault(r.url_key, job)
-        if r.position_key and job not in self.positions.setdefault(r.position_key, []):
-            self.positions[r.position_key].append(job)
-            self.positions[r.position_key].sort()
+        if r.position_key and r.position_key not in state["positions"]:
+            self.positions.setdefault(r.position_key, Position()).add(job, state["day"])
+            state["positions"].add(r.position_key)
         if known is None:
             self.postings[r.posting_key] = job
             state["groups"].add(((r.source or "").lower(), (r.source_group or "").lower()))
         return job, new, known is None
 
     def at_position(self, r) -> int | None:
-        for job in self.positions.get(r.position_key, []) if r.position_key else []:
+        place = self.positions.get(r.position_key) if r.position_key else None
+        if place is None:
+            return None
+        if not r.url_key:
+            return place.jobs[0]
+        day = _day(r.posted_on)
+        if day is None:
+            return None
+        group = ((r.source or "").lower(), (r.source_group or "").lower())
+        # Another requisition of the same feed has another address; such jobs are passed over.
+        for job in merge(*place.near(day)):
             state = self.jobs[job]
-            if not r.url_key:
-                return job
-            a, b = _day(r.posted_on), _day(state["day"])
-            if a is None or b is None or abs((a - b).days) > NEAR_DAYS:
-                continue
-            same = ((r.source or "").lower(), (r.source_group or "").lower()) in state["groups"]
-            if same and state["url_key"] and state["url_key"] != r.url_key:
+            if group in state["groups"] and state["url_key"] and state["url_key"] != r.url_key:
                 continue
             return job
         return None

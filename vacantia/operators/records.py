@@ -99,3 +99,61 @@ def import_summary(parsed: DataFrame, stored_keys: DataFrame, key: list[str]) ->
     """Counters of an import: checked, parsed, new and existing postings."""
     marked = parsed.join(stored_keys.select(*key).distinct().withColumn("__there", F.lit(True)), key, "left")
     return marked.agg(F.count("*").alias("checked"), F.count_if(F.col("title").isNotNull()).alias("parsed"), F.count_if(F.col("__there").isNull()).alias("new_postings"), F.count_if("__there").alias("existing_postings"))
+
+
+def guarded(stored: DataFrame, incoming: DataFrame, key: str, status: str, text: str, replaceable: str) -> DataFrame:
+    """``stored`` with summaries put in: where there is no row yet, or the row has the replaceable status and a shorter text.
+
+    ``incoming`` holds one row a key, with the columns of ``stored``."""
+    old = stored.select(F.col(key), F.col(status).alias("__s"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("__n"), F.lit(True).alias("__there"))
+    wanted = incoming.join(old, key, "left").filter(F.col("__there").isNull() | ((F.col("__s") == replaceable) & (F.col("__n") < F.length(text)))).drop("__s", "__n", "__there")
+    return upsert(stored, wanted, [key])
+
+
+def longest(df: DataFrame, key: str, text: str, order: str) -> DataFrame:
+    """(key, text): the longest text of each key, of equal ones the first."""
+    return df.filter(F.col(text).isNotNull()).groupBy(key).agg(F.min_by(text, F.struct((-F.length(text)).alias("a"), F.col(order).alias("b"))).alias(text))
+
+
+def distinct_terms(df: DataFrame, term: str, normal: Column, order: str) -> DataFrame:
+    """The first spelling of each term whose normal form isn't empty."""
+    rows = df.withColumn("__n", normal).filter("__n <> ''")
+    return rows.groupBy("__n").agg(F.min_by(term, order).alias(term), F.min(order).alias(order)).drop("__n")
+
+
+def pending(inputs: DataFrame, outputs: DataFrame, key: str, changed: str, done: str) -> DataFrame:
+    """The inputs without an output, or changed since their last one; what is polled for is what a run has to do."""
+    last = outputs.groupBy(key).agg(F.max(done).alias("__done"))
+    return inputs.join(last, key, "left").filter(F.col("__done").isNull() | (F.col(changed) > F.col("__done"))).drop("__done")
+
+
+MOST_ERROR = 2000
+
+
+def run_events(runs: DataFrame) -> DataFrame:
+    """A run log of appended events (run_id, source_id, at, status, counters, error): each run begins as ``running``; a
+    finished one adds an event with its outcome and the first 2,000 characters of its error. Other outcomes raise."""
+    begun = runs.select("run_id", "source_id", F.col("started_at").alias("at"), F.lit("running").alias("status"), *(F.lit(0).cast("bigint").alias(c) for c in COUNTERS), F.lit(None).cast("string").alias("error"))
+    outcome = F.when(F.col("status").isin("success", "error"), F.col("status")).otherwise(F.raise_error(F.lit("a run ends in success or error")))
+    ended = runs.filter("finished_at is not null").select("run_id", "source_id", F.col("finished_at").alias("at"), outcome.alias("status"), *(F.col(c).cast("bigint").alias(c) for c in COUNTERS), F.substring("error", 1, MOST_ERROR).alias("error"))
+    return begun.unionByName(ended)
+
+
+COUNTERS = ("postings_seen", "postings_relevant", "new_jobs", "new_postings")
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """The last state of each run."""
+    order = F.struct((F.col("status") != "running").alias("a"), F.col("at").alias("b"))
+    last = F.max_by(F.struct("source_id", "at", "status", *COUNTERS, "error"), order)
+    return events.groupBy("run_id").agg(last.alias("s"), F.min("at").alias("started_at")).select("run_id", "started_at", "s.*")
+
+
+def since(df: DataFrame, column: str, day: Column, strict: bool = True) -> DataFrame:
+    """The rows dated on or after a day by the first ten characters; rows without date go. A date that can't be read raises
+    if ``strict``, else its row goes too."""
+    text = F.col(column)
+    read = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    if strict:
+        read = F.when(read.isNotNull() | (F.coalesce(text, F.lit("")) == ""), read).otherwise(F.raise_error(F.concat(F.lit("no ISO date: "), text)).cast("date"))
+    return df.filter(read >= day)

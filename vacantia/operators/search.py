@@ -22,15 +22,27 @@ class SearchParams:
     least_score: float | None = None
     sort: str = "newest"
     limit: int = 200
-    text_columns: tuple[str, ...] = field(default=("title", "company", "location"))
+    buckets: tuple[str, ...] = ()
+    allowed_buckets: tuple[str, ...] = ("high_match", "review", "low_match", "rejected")
+    snippet: int = 0
+    text_columns: tuple[str, ...] = field(default=("title", "company", "location", "description_text"))
 
 
 def normalised_sources(values: list[str]) -> tuple[str, ...]:
-    """At most 50 values of at most 50 characters, folded, each once; blank and ``all`` dropped."""
+    """The first 50 values, of these the ones of at most 50 characters, folded, each once; blank and ``all`` dropped. The
+    bounds are those of the search form: more values, or longer ones, are ignored as there."""
     folded = [v.strip().casefold() for v in values[:50] if len(v) <= 50]
     return tuple(dict.fromkeys(v for v in folded if v and v != "all"))
 
 
+def requested_buckets(value: str, allowed: tuple[str, ...]) -> tuple[str, ...]:
+    """The buckets of a comma-separated value; none for all of them; unknown ones raise."""
+    names = tuple(v.strip() for v in value.split(",") if v.strip()) if value.strip() != "all" else ()
+    if unknown := [v for v in names if v not in allowed]:
+        raise ValueError(f"unknown buckets: {', '.join(unknown)}")
+    return names
+
+
 def contains(column: str, needle: str) -> Column:
     """Case-insensitive substring in which ``%`` and ``_`` are wildcards, as in LIKE; a backslash is itself."""
     return F.lower(F.coalesce(F.col(column), F.lit(""))).like("%" + needle.casefold().replace("\\", "\\\\") + "%")
@@ -40,6 +52,8 @@ def predicates(p: SearchParams, columns: list[str]) -> list[Column]:
     out = []
     if p.least_score is not None:
         out.append(F.col("match_score") >= p.least_score)
+    if p.buckets:
+        out.append(F.col("match_bucket").isin(*requested_buckets(",".join(p.buckets), p.allowed_buckets)))
     if p.text.strip():
         out.append(reduce(Column.__or__, [contains(c, p.text.strip()) for c in p.text_columns if c in columns]))
     if p.location.strip():
@@ -74,6 +88,8 @@ def page(jobs: DataFrame, postings: DataFrame, p: SearchParams) -> DataFrame:
         raise ValueError(f"limit must be 1 to {MOST_ROWS}")
     order = [F.col(c.lstrip("-")).desc() for c in SORTS[p.sort] if c.lstrip("-") in jobs.columns]
     top = filtered(jobs, postings, p).orderBy(*order).limit(p.limit)
+    if p.snippet:
+        top = top.withColumn("description_text", F.substring("description_text", 1, p.snippet))
     ours = postings.join(top.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     return top.join(provenance(ours).withColumnRenamed("job_id", "id"), "id", "left").fillna(0, ["posting_count"]).orderBy(*order)
 
@@ -99,7 +115,30 @@ def options(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.trim(F.coalesce(column, F.lit(""))) != "").select(F.col(column).alias("value")).distinct().orderBy(F.lower("value"), "value")
 
 
-def latest_runs(runs: DataFrame, registry: DataFrame) -> DataFrame:
-    """Every registered source with its latest run, ``not_run`` where there is none."""
-    last = runs.groupBy(F.lower("source_id").alias("key")).agg(F.max_by("status", "run_id").alias("status"), F.max("run_id").alias("run_id"))
-    return registry.withColumn("key", F.lower("source_id")).join(last, "key", "left").select("source_id", F.coalesce("status", F.lit("not_run")).alias("status"), "run_id")
+def latest_runs(runs: DataFrame, registry: DataFrame, *columns: str) -> DataFrame:
+    """Every registered source with its latest run (and more columns of it), ``not_run`` where there is none."""
+    held = F.struct("status", *columns)
+    last = runs.groupBy(F.lower("source_id").alias("key")).agg(F.max_by(held, "run_id").alias("last"), F.max("run_id").alias("run_id"))
+    rows = registry.withColumn("key", F.lower("source_id")).join(last, "key", "left")
+    return rows.select(*registry.columns, F.coalesce("last.status", F.lit("not_run")).alias("status"), "run_id", *(F.col(f"last.{c}").alias(c) for c in columns))
+
+
+def by_company(statuses: DataFrame) -> DataFrame:
+    """Statuses in the order of their company, whatever its case, and adapter."""
+    return statuses.orderBy(F.lower("company"), "adapter", "source_id")
+
+
+def refresh_due(statuses: DataFrame, cutoff: Column, enabled: str = "enabled", at: str = "at") -> DataFrame:
+    """One row: whether any enabled source has never run, has run at no readable time, or not since the cutoff."""
+    when = F.try_to_timestamp(F.col(at).cast("string"))
+    return statuses.filter(enabled).agg(F.coalesce(F.bool_or(when.isNull() | (when <= cutoff)), F.lit(False)).alias("due"))
+
+
+def selected_sources(registry: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """The enabled sources, or those of the given ids; an id that isn't registered raises."""
+    if wanted is None:
+        return registry.filter("enabled")
+    ids = F.array(*map(F.lit, sorted({w.casefold() for w in wanted})))
+    known = registry.agg(F.array_except(ids, F.collect_set(F.when(F.array_contains(ids, F.lower("source_id")), F.lower("source_id")))).alias("missing"))
+    checked = registry.filter(F.array_contains(ids, F.lower("source_id"))).join(F.broadcast(known), how="cross")  # one row
+    return checked.filter(F.when(F.size("missing") == 0, True).otherwise(F.raise_error(F.concat(F.lit("unknown sources: "), F.array_join("missing", ", "))).cast("boolean"))).drop("missing")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as t
-from vacantia.operators import identity, records
+from vacantia.operators import identity, records, timestamps
 from vacantia.plans.register import Register
-from vacantia.tables import read
+from vacantia.tables import cut_lineage, read
 
 query = Register()
 
@@ -76,19 +76,19 @@ def coalesce_latest(spark, d):
 
 
 @query("""
-SELECT id, CASE WHEN id % 7 = 0 THEN 'updated' ELSE title END AS title FROM jobs WHERE id % 2 = 0 OR id % 7 = 0""")
+WITH n AS (SELECT p.job_id AS id, n.title, row_number() OVER (PARTITION BY p.job_id ORDER BY p.id DESC, n.title DESC) AS r FROM normalized_jobs n JOIN job_postings p ON p.source_group = n.source_group AND p.source_message_id = n.source_message_id WHERE n.title IS NOT NULL)
+SELECT j.id, coalesce(n.title, j.title) AS title FROM jobs j FULL JOIN (SELECT id, title FROM n WHERE r = 1) n ON n.id = j.id""")
 def upsert_merge(spark, d):
-    jobs = read(spark, d, "jobs").select("id", "title")
-    return records.upsert(jobs.filter("id % 2 = 0"), jobs.filter("id % 7 = 0").withColumn("title", F.lit("updated")), ["id"])
+    keys = read(spark, d, "job_postings").select(F.col("id").alias("posting_id"), F.col("job_id").alias("id"), "source_group", "source_message_id")
+    typed = read(spark, d, "normalized_jobs").filter("title is not null").select("source_group", "source_message_id", "title").join(keys, ["source_group", "source_message_id"])
+    latest = records.latest_non_null(typed, ["id"], F.struct("posting_id", "title"), ["title"])
+    return records.upsert(read(spark, d, "jobs").select("id", "title"), latest, ["id"])
 
 
-@query("""
-SELECT id, job_id FROM job_postings p WHERE id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM job_postings q WHERE q.id % 3 <> 0 AND q.source_group = p.source_group AND q.source_message_id = p.source_message_id)
-AND id = (SELECT min(id) FROM job_postings r WHERE r.id % 3 = 0 AND r.source_group = p.source_group AND r.source_message_id = p.source_message_id)""")
+@query("SELECT DISTINCT source_group, source_message_id FROM source_messages m WHERE NOT EXISTS (SELECT 1 FROM job_postings p WHERE p.source_group = m.source_group AND p.source_message_id = m.source_message_id)")
 def insert_missing(spark, d):
-    rows = read(spark, d, "job_postings")
-    incoming = records.first_wins(rows.filter("id % 3 = 0"), ["source_group", "source_message_id"], ["id"])
-    return records.insert_missing(rows.filter("id % 3 <> 0"), incoming, ["source_group", "source_message_id"]).select("id", "job_id")
+    key = ["source_group", "source_message_id"]
+    return records.insert_missing(read(spark, d, "job_postings"), read(spark, d, "source_messages").select(*key), key)
 
 
 @query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'error'")
@@ -115,10 +115,13 @@ def preferred_url(spark, d):
     return records.preferred_url(read(spark, d, "job_postings"), "job_id", "source_message_url", "source", "id")
 
 
-@query("SELECT source_group, max(CASE WHEN regexp_full_match(source_message_id, '[0-9]{1,12}') THEN CAST(source_message_id AS BIGINT) END) AS cursor, count(*) AS messages FROM source_messages GROUP BY source_group")
+@query("SELECT source_group, greatest(0, max(id)) AS cursor FROM (SELECT source_group, 0 AS id FROM source_groups UNION ALL SELECT source_group, CAST(source_message_id AS BIGINT) FROM source_messages WHERE regexp_full_match(source_message_id, '[0-9]{1,12}')) GROUP BY source_group")
 def group_cursors(spark, d):
-    number = F.when(F.col("source_message_id").rlike(r"^\d{1,12}$"), F.col("source_message_id").cast("bigint"))
-    return read(spark, d, "source_messages").groupBy("source_group").agg(F.max(number).alias("cursor"), F.count("*").alias("messages"))
+    from vacantia.streaming import incremental
+
+    state = read(spark, d, "source_groups").select("source_group", F.lit(0).cast("bigint").alias("cursor")).distinct()
+    batch = read(spark, d, "source_messages").filter(F.col("source_message_id").rlike(r"^\d{1,12}$")).select("source_group", F.col("source_message_id").cast("bigint").alias("id"))
+    return incremental.advance_cursor(state, batch, "source_group", "id")
 
 
 @query("""
@@ -128,15 +131,14 @@ def import_summary(spark, d):
     return records.import_summary(read(spark, d, "normalized_jobs"), read(spark, d, "job_postings"), ["source", "source_group", "source_message_id"])
 
 
-_DAY = "try_cast(CASE WHEN regexp_full_match(posted_on, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN posted_on END AS DATE)"
+_DAY = "try_cast(CASE WHEN regexp_matches(posted_on, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN substring(posted_on, 1, 10) END AS DATE)"
 
 
 @query(f"""
 WITH j AS (SELECT id, lower(title) AS t, lower(company) AS c, {_DAY} AS day FROM jobs WHERE title IS NOT NULL AND company IS NOT NULL AND {_DAY} IS NOT NULL)
 SELECT a.id, min(b.id) AS earlier_id FROM j a JOIN j b ON a.t = b.t AND a.c = b.c AND b.id < a.id AND abs(date_diff('day', a.day, b.day)) <= 21 GROUP BY a.id""")
 def position_band_match(spark, d):
-    day = F.when(F.col("posted_on").rlike(r"^\d{4}-\d{2}-\d{2}$"), t.date_part(F.col("posted_on")))
-    rows = read(spark, d, "jobs").filter("title is not null and company is not null").select("id", F.lower("title").alias("t"), F.lower("company").alias("c"), day.alias("day")).filter("day is not null")
+    rows = read(spark, d, "jobs").filter("title is not null and company is not null").select("id", F.lower("title").alias("t"), F.lower("company").alias("c"), t.date_part(F.col("posted_on")).alias("day")).filter("day is not null")
     return rows.withColumn("earlier_id", records.first_within_days(rows, ["t", "c"], F.col("day"), "id", 21)).filter("earlier_id is not null").select("id", "earlier_id")
 
 
@@ -152,20 +154,21 @@ def stream_cursor(spark, d):
 def stream_dedupe(spark, d):
     from vacantia.streaming import incremental
 
-    rows = incremental.deduplicated(spark, f"{d}/events.parquet", ["user_id", "event_type"])
+    rows = incremental.deduplicated(spark, f"{d}/events.parquet", ["user_id", "event_type"], "3650 days")
     return rows.groupBy("user_id", "event_type").agg(F.count("*").alias("first_seen"))
 
 
 @query()
 def resolved_jobs(spark, d):
-    """Identity resolution of all parsed postings, in the order of their messages."""
+    """Identity resolution of all parsed postings, in the order of the instants of their messages (unreadable ones last)."""
     rows = read(spark, d, "normalized_jobs")
-    order = F.xxhash64(*rows.columns)
-    ranged = rows.withColumn("h", order).repartitionByRange("message_date", "h").sortWithinPartitions("message_date", "h")
-    postings = ranged.withColumn("arrival_no", F.monotonically_increasing_id())
-    from vacantia.tables import cut_lineage
-
-    return identity.resolved(cut_lineage(postings))
+    zones = read(spark, d, "source_groups").select("source_group", "tz_name", "date_order").dropDuplicates(["source_group"])
+    timed = timestamps.with_parsed(rows.join(zones, "source_group", "left"), F.col("message_date"), "__day", "__at", F.col("tz_name"), F.col("date_order"))
+    order = [F.coalesce("__at", F.lit(2**63 - 1)), F.coalesce("source_group", F.lit("")), F.coalesce("source_message_id", F.lit("")), F.xxhash64(*rows.columns)]
+    timed = timed.withColumn("__o", F.struct(*(o.alias(f"o{k}") for k, o in enumerate(order))))
+    ranged = timed.repartitionByRange("__o").sortWithinPartitions("__o")
+    postings = cut_lineage(ranged.select(*rows.columns, F.monotonically_increasing_id().alias("arrival_no")))
+    return identity.resolved(postings)
 
 
 QUERIES, ORACLE = query.queries, query.oracle

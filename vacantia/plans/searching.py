@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vacantia.operators import search
 from vacantia.operators.search import SearchParams
 from vacantia.plans.register import Register
+from vacantia.sources import feeds
 from vacantia.tables import read
 
 query = Register()
@@ -97,12 +98,20 @@ def status_counts(spark, d):
     return read(spark, d, "job_details").groupBy("fetch_status").agg(F.count("*").alias("pages"))
 
 
+# The table doesn't keep the kind of content: a page without text and extractor stands for one that isn't markup.
 @query("""
-SELECT job_id, CASE WHEN http_status IN (401, 403, 429) THEN 'blocked' WHEN http_status >= 400 THEN 'http_error' WHEN http_status IS NULL THEN 'request_error' WHEN length(coalesce(description_text, '')) < 200 THEN 'insufficient_content' ELSE 'success' END AS outcome FROM job_details""")
+SELECT job_id, CASE WHEN fetch_status = 'source_automation_prohibited' THEN 'source_automation_prohibited' WHEN fetch_error LIKE '%resol%' THEN 'source_resolution_error' WHEN NOT regexp_matches(coalesce(final_url, ''), '^https?://') AND http_status IS NULL AND final_url IS NOT NULL THEN 'unsafe_url'
+WHEN http_status IS NULL THEN 'request_error' WHEN http_status IN (401, 403, 429) THEN 'blocked' WHEN http_status >= 400 THEN 'http_error' WHEN extractor IS NULL AND description_text IS NULL AND fetch_status <> 'insufficient_content' THEN 'unsupported_content'
+WHEN length(coalesce(description_text, '')) < 200 THEN 'insufficient_content' ELSE 'success' END AS outcome FROM job_details""")
 def fetch_classification(spark, d):
+    from vacantia.functions.text import is_public_url
     from vacantia.sources.pages import fetch_outcome
 
-    return read(spark, d, "job_details").select("job_id", fetch_outcome(F.col("http_status"), F.length(F.coalesce("description_text", F.lit("")))).alias("outcome"))
+    c = F.col
+    kind = F.when(c("extractor").isNull() & c("description_text").isNull() & (c("fetch_status") != "insufficient_content"), "application/pdf").otherwise("text/html")
+    safe = is_public_url(c("final_url")) | c("final_url").isNull() | c("http_status").isNotNull()
+    outcome = fetch_outcome(c("http_status"), F.length("description_text"), kind, c("fetch_status") == "source_automation_prohibited", ~F.coalesce(c("fetch_error").contains("resol"), F.lit(False)), safe)
+    return read(spark, d, "job_details").select("job_id", outcome.alias("outcome"))
 
 
 @query("""
@@ -142,10 +151,10 @@ def newest_per_source(spark, d):
 
 @query("""
 SELECT s.source, coalesce(t.status, 'not_run') AS status, t.run_id FROM (SELECT DISTINCT source FROM source_groups) s LEFT JOIN
-(SELECT lower(source) AS key, arg_max(source_group, id) AS status, max(id) AS run_id FROM job_postings WHERE id % 2 = 0 GROUP BY 1) t ON t.key = lower(s.source)""")
+(SELECT lower(source) AS key, arg_max(source_group, id) AS status, max(id) AS run_id FROM job_postings GROUP BY 1) t ON t.key = lower(s.source)""")
 def latest_runs(spark, d):
-    # Postings with even ids stand for a run log here, and their groups for its statuses.
-    runs = read(spark, d, "job_postings").filter("id % 2 = 0").select(F.col("source").alias("source_id"), F.col("source_group").alias("status"), F.col("id").alias("run_id"))
+    # The postings stand for a run log here, and their groups for its statuses.
+    runs = read(spark, d, "job_postings").select(F.col("source").alias("source_id"), F.col("source_group").alias("status"), F.col("id").alias("run_id"))
     registry = read(spark, d, "source_groups").select(F.col("source").alias("source_id")).distinct()
     return search.latest_runs(runs, registry).withColumnRenamed("source_id", "source")
 
@@ -154,10 +163,7 @@ def latest_runs(spark, d):
 SELECT source_job_id, location_search_text FROM public_postings
 WHERE list_has_any(coalesce(country_codes, []), ['XA', 'XB']) OR lower(coalesce(location_search_text, '')) LIKE '%pelagia%' OR lower(coalesce(location_search_text, '')) LIKE '%remote%'""")
 def relevant_places(spark, d):
-    rows = read(spark, d, "public_postings")
-    text = F.lower(F.coalesce("location_search_text", F.lit("")))
-    near = F.arrays_overlap(F.coalesce("country_codes", F.array().cast("array<string>")), F.array(F.lit("XA"), F.lit("XB")))
-    return rows.filter(near | text.contains("pelagia") | text.contains("remote")).select("source_job_id", "location_search_text")
+    return feeds.relevant(read(spark, d, "public_postings"), ["XA", "XB"], ["Pelagia", "remote"]).select("source_job_id", "location_search_text")
 
 
 @query("SELECT code, count(*) AS postings FROM (SELECT unnest(country_codes) AS code FROM public_postings) GROUP BY code")

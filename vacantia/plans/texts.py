@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import analysis as a
 from vacantia.functions import text as t
+from vacantia.operators import records
 from vacantia.plans.register import Register
 from vacantia.tables import read, spread
 
@@ -91,10 +92,17 @@ def _has(column: str, words: list[str]) -> str:
     return f"regexp_matches({column}, '(^|[^a-z0-9])({one})([^a-z0-9]|$)')"
 
 
-@query("WITH x AS (SELECT " + _FOLD.format("text") + " AS x FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS technology, count(*) AS documents FROM x WHERE {_has('x', w)} HAVING count(*) > 0" for n, w in a.TECHNOLOGIES.items() if n != "Spring"))
+def _named(name: str, words: list[str]) -> str:
+    """SQL of whether a technology is named; Spring isn't where it only stands in Spring Boot."""
+    if name != "Spring":
+        return _has("x", words)
+    return f"({_has('x', words)} AND (NOT {_has('x', a.TECHNOLOGIES['Spring Boot'])} OR {_has("replace(x, 'spring boot', '')", ['spring'])}))"
+
+
+@query("WITH x AS (SELECT " + _FOLD.format("text") + " AS x FROM documents) " + " UNION ALL ".join(f"SELECT '{n}' AS technology, count(*) AS documents FROM x WHERE {_named(n, w)} HAVING count(*) > 0" for n, w in a.TECHNOLOGIES.items()))
 def technology_counts(spark, d):
     found = a.technologies(t.analysis_text(F.col("text")))
-    return spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.explode(found).alias("technology")).filter("technology <> 'Spring'").groupBy("technology").agg(F.count("*").alias("documents"))
+    return spread(read(spark, d, "documents").select("doc_id", "text"), "doc_id").select(F.explode(found).alias("technology")).groupBy("technology").agg(F.count("*").alias("documents"))
 
 
 @query("WITH x AS (SELECT doc_id, " + _FOLD.format("text") + " AS x FROM documents) SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN {_has('x', w)} THEN '{n}' END" for n, w in a.SENIORITY.items()) + "], lambda s: s IS NOT NULL)::VARCHAR AS signals FROM x")
@@ -113,17 +121,47 @@ def keyword_score(spark, d):
     return read(spark, d, "documents").select("doc_id", t.keyword_score(t.scoring_text(F.col("text")), {"python": 3, "kafka": 2, "docker": 2, "rust": 1}, 5).alias("score"))
 
 
-@query()
+_ANALYSIS = "trim(regexp_replace(replace(replace(replace(replace(lower(coalesce({0}, '')), chr(8211), '-'), chr(8212), '-'), chr(8217), chr(39)), '`', chr(39)), '[\\s' || chr(160) || ']+', ' ', 'g'))"
+_LISTED = lambda groups: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_named(n, w)} THEN '{n}' END" for n, w in groups.items()) + "], lambda s: s IS NOT NULL), '|')"
+_YEARS = f"""
+x AS MATERIALIZED (SELECT job_id, length(description_text) AS size, {_ANALYSIS.format('description_text')} AS x FROM job_details WHERE description_text IS NOT NULL),
+f AS (SELECT job_id, f FROM (SELECT job_id, unnest(regexp_split_to_array(x, '[.!?;]\\s+|\\s+[•●▪]\\s+')) AS f FROM x WHERE contains(x, 'year') OR contains(x, 'yr')) WHERE (contains(f, 'year') OR contains(f, 'yr')) AND {_has('f', a.EXPERIENCE_CONTEXT)}),
+c AS (SELECT job_id, 0 AS lo, 0 AS hi FROM x WHERE regexp_matches(x, '{a.NONE_NEEDED}')
+UNION ALL SELECT job_id, CAST(lo AS INT), CAST(hi AS INT) FROM (SELECT job_id, unnest(regexp_extract_all(f, '{a.RANGE}', 1)) AS lo, unnest(regexp_extract_all(f, '{a.RANGE}', 2)) AS hi FROM f)
+{" ".join(f"UNION ALL SELECT job_id, CAST(lo AS INT), NULL FROM (SELECT job_id, unnest(regexp_extract_all(f, '{p}', 1)) AS lo FROM f)" for p in a.OPEN_ENDED)}),
+k AS (SELECT job_id, least(lo, coalesce(hi, lo)) AS lo, CASE WHEN hi IS NULL THEN 99 ELSE greatest(lo, hi) END AS hi, coalesce(greatest(lo, hi), lo) AS most FROM c),
+y AS (SELECT job_id, lo, nullif(hi, 99) AS hi FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY lo DESC, hi DESC) AS n FROM k WHERE most <= {a.MOST_YEARS}) WHERE n = 1),
+v AS (SELECT x.job_id, x.size, y.lo, y.hi, {_LISTED(a.TECHNOLOGIES)} AS technologies, {_LISTED(a.SENIORITY)} AS seniority, {_LISTED(a.EDUCATION)} AS education FROM x LEFT JOIN y ON y.job_id = x.job_id),
+w AS (SELECT *, '|' || seniority || '|' AS s FROM v),
+r AS (SELECT *, CASE WHEN contains(s, '|student|') THEN 'student' WHEN contains(s, '|intern|') THEN 'intern' WHEN contains(s, '|senior|') THEN 'senior' WHEN contains(s, '|junior|') THEN 'junior' WHEN lo IS NULL THEN 'not-specified' WHEN lo <= 1 THEN 'entry-level' WHEN lo <= 3 THEN 'junior-to-mid' WHEN lo <= 5 THEN 'mid-level' ELSE 'senior' END AS label FROM w)"""
+
+
+def _analysed(spark, d):
+    rows = spread(read(spark, d, "job_details").filter("description_text is not null").select("job_id", "description_text"), "job_id")
+    return a.analysed(rows, "description_text")
+
+
+@query(f"""
+WITH {_YEARS} SELECT job_id, lo AS experience_min, hi AS experience_max, CASE WHEN lo IS NULL THEN 'not specified' WHEN hi IS NULL THEN lo || '+ years' WHEN lo = hi THEN lo || ' years' ELSE lo || '-' || hi || ' years' END AS experience_text, label AS experience_label, technologies, seniority AS seniority_signals, education AS education_signals,
+(35 + CASE WHEN size >= 500 THEN 15 ELSE 0 END + CASE WHEN size >= 1500 THEN 10 ELSE 0 END + CASE WHEN technologies <> '' THEN 15 ELSE 0 END + CASE WHEN lo IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN seniority <> '' THEN 5 ELSE 0 END + CASE WHEN education <> '' THEN 5 ELSE 0 END) / 100.0::DOUBLE AS analysis_confidence FROM r""")
 def description_analysis(spark, d):
     """The whole analysis of every fetched page."""
-    rows = a.analysed(spread(read(spark, d, "job_details").filter("description_text is not null").select("job_id", "description_text"), "job_id"), "description_text")
-    return rows.select("job_id", "experience_min", "experience_max", "experience_label", "technologies", "seniority_signals", "education_signals", "analysis_confidence")
+    lists = [F.array_join(c, "|").alias(c) for c in ("technologies", "seniority_signals", "education_signals")]
+    return _analysed(spark, d).select("job_id", "experience_min", "experience_max", t.experience_text(F.col("experience_min"), F.col("experience_max")).alias("experience_text"), "experience_label", *lists, "analysis_confidence")
+
 
+@query(f"WITH {_YEARS} SELECT label AS experience_label, count(*) AS pages FROM r GROUP BY 1")
+def experience_counts(spark, d):
+    return _analysed(spark, d).groupBy("experience_label").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "experience_label")
 
-@query("SELECT doc_id, (35 + CASE WHEN length(text) >= 500 THEN 15 ELSE 0 END + CASE WHEN length(text) >= 1500 THEN 10 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM documents")
-def length_confidence(spark, d):
-    none = F.array().cast("array<string>")
-    return read(spark, d, "documents").select("doc_id", a.confidence(F.length("text"), none, F.lit(None).cast("int"), none, none).alias("confidence"))
+
+_FITS = {"degree-required": 0.7, "degree-preferred": 0.5, "degree-mentioned": 0.25}
+
+
+@query(f"WITH {_YEARS} SELECT job_id, list_max(list_filter([" + ", ".join(f"CASE WHEN contains('|' || education || '|', '|{n}|') THEN {v}::DOUBLE END" for n, v in _FITS.items()) + "], lambda v: v IS NOT NULL)) AS fit FROM r")
+def education_fit(spark, d):
+    rows = spread(read(spark, d, "job_details").filter("description_text is not null").select("job_id", "description_text"), "job_id")
+    return rows.select("job_id", t.greatest_fit(t.alias_groups(t.analysis_text(F.col("description_text")), a.EDUCATION), _FITS).alias("fit"))
 
 
 @query("""
@@ -162,8 +200,60 @@ def json_props(spark, d):
 
 @query("SELECT coalesce(source, '') AS source, count(*) AS jobs FROM normalized_jobs WHERE TRY_CAST(substring(message_date, 1, 10) AS DATE) >= DATE '2025-06-01' AND regexp_matches(message_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') GROUP BY 1")
 def since_date(spark, d):
-    rows = read(spark, d, "normalized_jobs").filter(F.col("message_date").rlike(r"^\d{4}-\d{2}-\d{2}") & (t.date_part(F.col("message_date")) >= F.lit("2025-06-01").cast("date")))
+    rows = records.since(read(spark, d, "normalized_jobs"), "message_date", F.lit("2025-06-01").cast("date"), strict=False)
     return rows.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("jobs"))
 
 
+_WORDS = {"python": 3, "kafka": 2, "docker": 2, "rust": 1}
+
+
+@query("WITH x AS (SELECT doc_id, " + _FOLD.format("text") + " AS x FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('x', [w])} THEN '{w}' END" for w in _WORDS) + "], lambda s: s IS NOT NULL), ',') AS found FROM x")
+def matching_keywords(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.array_join(t.matching(t.scoring_text(F.col("text")), list(_WORDS), t.keyword), ",").alias("found"))
+
+
+@query("SELECT event_id, greatest(-10.0, least(10.0, value - 20)) AS bonus FROM events")
+def bounded_values(spark, d):
+    return read(spark, d, "events").select("event_id", t.bounded(F.col("value") - 20, -10.0, 10.0).alias("bonus"))
+
+
+@query(f"SELECT arg_min(location, id) AS term, min(id) AS first_id FROM jobs WHERE {_FOLD.format('location')} <> '' GROUP BY {_FOLD.format('location')}")
+def distinct_terms(spark, d):
+    rows = read(spark, d, "jobs").select("id", "location")
+    return records.distinct_terms(rows, "location", t.fingerprint_text(F.col("location")), "id").select(F.col("location").alias("term"), F.col("id").alias("first_id"))
+
+
+@query("""
+SELECT source_group, source_message_id, array_to_string(urls, ' ') AS urls, 'none' AS broken, 'none' AS other FROM source_messages""")
+def json_lists(spark, d):
+    joined = lambda c: F.when(F.size(t.json_strings(c)) > 0, F.array_join(t.json_strings(c), " ")).otherwise("none")
+    text = F.to_json("urls")
+    rows = read(spark, d, "source_messages").filter("urls is not null").select("source_group", "source_message_id", F.array_join(t.json_strings(text), " ").alias("urls"), joined(F.concat(text, F.lit("]"))).alias("broken"), joined(F.concat(F.lit('{"a":'), text, F.lit("}"))).alias("other"))
+    return rows.unionByName(read(spark, d, "source_messages").filter("urls is null").select("source_group", "source_message_id", F.lit(None).cast("string").alias("urls"), F.lit("none").alias("broken"), F.lit("none").alias("other")))
+
+
+@query("SELECT job_id, sum(id) AS ids, string_agg(source, ',' ORDER BY id) AS sources FROM job_postings GROUP BY job_id, source_group")
+def json_objects(spark, d):
+    rows = read(spark, d, "job_postings").groupBy("job_id", "source_group").agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "source")))).alias("v"))
+    found = t.json_objects(F.col("v"), "id bigint, source string")
+    return rows.select("job_id", F.aggregate(found, F.lit(0).cast("bigint"), lambda n, x: n + x["id"]).alias("ids"), F.array_join(F.transform(found, lambda x: x["source"]), ",").alias("sources"))
+
+
+@query("SELECT source_job_id, array_to_string(list_filter(['XA', 'XB'], lambda c: NOT list_contains(coalesce(country_codes, []), c)), ',') AS missing FROM public_postings")
+def missing_codes(spark, d):
+    return read(spark, d, "public_postings").select("source_job_id", F.array_join(t.missing_keys(F.col("country_codes"), ["XA", "XB"]), ",").alias("missing"))
+
+
+@query("""
+SELECT id, u AS url, NOT regexp_matches(u, '//(10[.]|localhost|172[.]1[67][.]|192[.]168[.]|169[.]254[.])') AS public, CASE WHEN u LIKE 'https://jobs.%' AND regexp_matches(u, '^https://[^/:@]*/') THEN u END AS own
+FROM (SELECT id, CASE id % 7 WHEN 0 THEN 'http://10.0.0.' || id % 250 || '/x' WHEN 1 THEN 'http://localhost/' || id WHEN 2 THEN 'https://172.16.3.' || id % 250 || '/' WHEN 3 THEN 'http://192.168.1.' || id % 250 WHEN 4 THEN 'http://169.254.1.' || id % 250 ELSE job_url END AS u FROM jobs WHERE job_url IS NOT NULL)""")
+def public_urls(spark, d):
+    """Addresses of jobs beside private ones made from ids, so that both outcomes occur."""
+    n, rest = F.col("id") % 7, (F.col("id") % 250).cast("string")
+    u = F.when(n == 0, F.concat(F.lit("http://10.0.0."), rest, F.lit("/x"))).when(n == 1, F.concat(F.lit("http://localhost/"), F.col("id").cast("string"))).when(n == 2, F.concat(F.lit("https://172.16.3."), rest, F.lit("/"))).when(n == 3, F.concat(F.lit("http://192.168.1."), rest)).when(n == 4, F.concat(F.lit("http://169.254.1."), rest)).otherwise(F.col("job_url"))
+    rows = read(spark, d, "jobs").filter("job_url is not null").select("id", u.alias("url"))
+    own = F.when(t.url_host(F.col("url")).startswith("jobs."), t.expected_https_url(F.col("url"), t.url_host(F.col("url")), "/"))
+    return rows.select("id", "url", t.is_public_url(F.col("url")).alias("public"), own.alias("own"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

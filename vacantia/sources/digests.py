@@ -48,17 +48,54 @@ def channel_digest(messages: DataFrame) -> DataFrame:
     return schemas.jobs(rows, source=c("source"), source_group=c("source_group"), source_message_id=c("source_message_id"), source_message_url=c("source_message_url"), message_date=c("message_date"), title=c("__t"), company=c("__c"), location=c("__o"), posted_on=c("__p"), job_url=c("__u"), raw_text=F.trim("raw_text"), parse_confidence=score)
 
 
+def channel_shape(messages: DataFrame) -> DataFrame:
+    """The messages in the shape of an exported job: title and company in the first line, both labelled lines, a link."""
+    lines = _lines(F.col("raw_text"))
+    later = lambda label: F.exists(F.slice(lines, 2, 1_000_000), lambda x: F.lower(x).startswith(label))
+    shaped = F.coalesce(F.try_element_at(lines, F.lit(1)).contains(" @ "), F.lit(False)) & later("posted on:") & later("location:")
+    return messages.filter(shaped & (F.size(F.coalesce("urls", F.array().cast("array<string>"))) > 0))
+
+
+def live_urls(entities: Column, text: Column, buttons: Column, preview: Column) -> Column:
+    """The addresses of a live message, normalised, each once: of its entities (structs of type, text, href), its text, its
+    rows of buttons (arrays of arrays of addresses) and its link preview."""
+    none = F.array().cast("array<string>")
+    linked = F.transform(entities, lambda e: F.when(e["type"] == "text_link", e["href"]).when(e["type"] == "url", e["text"]))
+    every = F.concat(F.coalesce(linked, none), t.visible_urls(text), F.coalesce(F.flatten(F.filter(buttons, lambda r: r.isNotNull())), none), F.array(preview))
+    return F.array_distinct(F.filter(F.transform(F.array_compact(every), t.normalize_url), lambda u: u != ""))
+
+
+def allowed_url(urls: Column, host: str, path: str) -> Column:
+    """The first address of exactly this host whose path matches as a whole."""
+    of = lambda u, k: F.regexp_extract(u, r"^[a-zA-Z]+://([^/?#]*)([^?#]*)", k)
+    return F.try_element_at(F.filter(F.transform(urls, t.normalize_url), lambda u: (F.lower(of(u, 1)) == host.lower()) & of(u, 2).rlike(f"^(?:{path})$")), F.lit(1))
+
+
+def notification_id(application: Column, group: Column, number: Column, created: Column) -> Column:
+    """The id of a notification: a hash of application, group, number and time."""
+    return F.concat(F.lit(NOTIFICATION_ID), t.sha(F.concat_ws("\n", application, group, number.cast("string"), created)))
+
+
+def preview(messages: DataFrame, parser: Callable[[DataFrame], DataFrame], most: int = 5, order: str = "source_message_id") -> tuple[DataFrame, DataFrame]:
+    """A dry run: (checked, parsed) and the first parsed jobs; nothing is written."""
+    if most < 0:
+        raise ValueError("most must not be negative")
+    parsed = parser(messages)
+    counts = messages.agg(F.count("*").alias("checked")).join(F.broadcast(parsed.agg(F.count("*").alias("parsed"))))  # one row each
+    return counts, parsed.orderBy(order, "title").limit(most).select("title", "company", "location", "posted_on", "job_url")
+
+
 def preview_title(line: Column) -> Column:
     """A title shown by a notification: no link, not too long, with a word of the trade; stars around it go."""
     bare = F.trim(F.regexp_replace(F.trim(line), r"^\*(.*)\*$", "$1"))
     return F.when((bare != "") & (F.length(bare) <= MOST_TITLE) & ~bare.contains("://") & bare.rlike(PREVIEW_TITLE), bare)
 
 
-def group_digest(messages: DataFrame, host: str | None = None) -> DataFrame:
-    """``*Title*`` with a level line, or the alternate header and the title below it, each with a job's address; of
-    notifications also a lone title. Messages without sender, and those in neither form, give nothing."""
+def group_digest(messages: DataFrame, host: str | None = None, path: str = ".*") -> DataFrame:
+    """``*Title*`` with a level line, or the alternate header and the title below it, each with a job's address (of a host and
+    below a path, if given); of notifications also a lone title. Messages without sender, and those in neither form, give nothing."""
     rows = messages.filter(F.col("sender").isNotNull()).withColumn("__l", _lines(F.col("raw_text"))).filter(F.size("__l") > 0)
-    wanted = _urls() if host is None else F.filter(_urls(), lambda u: t.url_host(u) == host)
+    first_url = F.try_element_at(_urls(), F.lit(1)) if host is None else allowed_url(F.coalesce("urls", F.array().cast("array<string>")), host, path)
     first, noted = F.element_at("__l", 1), F.col("source_message_id").startswith(NOTIFICATION_ID)
     level = F.exists(F.slice("__l", 2, 1_000_000), lambda x: x.startswith(LEVEL))
     starred = F.nullif(F.trim(F.regexp_extract(first, TITLE, 1)), F.lit(""))
@@ -68,7 +105,7 @@ def group_digest(messages: DataFrame, host: str | None = None) -> DataFrame:
         .when((first == ALTERNATE_HEADER) & (F.size("__l") >= 2), F.try_element_at("__l", F.lit(2)))
         .when(noted & level, preview_title(first))
     )
-    rows = rows.withColumn("__u", F.try_element_at(wanted, F.lit(1)))
+    rows = rows.withColumn("__u", first_url)
     rows = rows.withColumns({"__t": title, "__v": level, "__p": F.when(F.array_contains("__l", "Posted today") & F.col("__u").isNotNull(), F.substring("message_date", 1, 10))}).filter(F.col("__t").isNotNull())
     score = F.when(F.col("__u").isNull(), 0.35).otherwise(_hundredths((F.lit(True), 55), (F.col("__v"), 10), (F.col("__p").isNotNull(), 10)))
     c = F.col

@@ -22,10 +22,13 @@ def _kind(v: Column) -> Column:
 def channel_messages(files: DataFrame, group: str, source: str = "telegram") -> DataFrame:
     """Messages of channel exports (one row a file, column ``payload``); service records are left out.
 
-    A file that isn't a public channel's export, or holds a record of another type, without number or time, fails.
+    A file that isn't a public channel's export, or holds a record of another type, without number or time, or a number
+    twice, fails.
     """
     root = F.parse_json("payload")
     listed = _fail((F.try_variant_get(root, "$.type", "string") == "public_channel") & _kind(F.try_variant_get(root, "$.messages", "variant")).startswith("ARRAY"), F.try_variant_get(root, "$.messages", "array<variant>"), "not a public channel's export")
+    numbers = F.transform(listed, lambda x: F.try_variant_get(x, "$.id", "string"))
+    listed = _fail(F.size(F.array_distinct(F.array_compact(numbers))) == F.size(F.array_compact(numbers)), listed, "a message number occurs twice")
     rows = files.select(F.posexplode(listed).alias("n", "m"))
     get = lambda p, k="string": F.try_variant_get(F.col("m"), f"$.{p}", k)
     kind = _fail(get("type").isin("message", "service"), get("type"), "unknown type of record")

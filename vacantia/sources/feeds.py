@@ -6,7 +6,9 @@ skipped by itself; a payload without its list of jobs raises, as the source of t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import schemas
@@ -118,9 +120,40 @@ def to_jobs(df: DataFrame, adapter: str) -> DataFrame:
     return schemas.jobs(df, source=F.lit(adapter), source_group=c("source_id"), source_message_id=c("source_job_id"), source_message_url=c("job_url"), message_date=c("posted_on"), title=c("title"), company=c("company"), location=c("location"), posted_on=c("posted_on"), job_url=c("job_url"), raw_text=F.concat_ws("\n", "title", "location", "description_text"), parse_confidence=F.lit(1.0))
 
 
-def sitemap_urls(payloads: DataFrame, host: str, prefix: str = "/") -> DataFrame:
-    """(source_id, job_url): the addresses of XML sitemaps that are on the host below the path, each once."""
+def sitemap_urls(payloads: DataFrame, host: str | None = None, prefix: str = "/") -> DataFrame:
+    """(source_id, job_url, n): the addresses of XML sitemaps that are on the host (of the column ``host``, if none is
+    given) below the path, each once. A sitemap without any raises."""
     urls = F.expr("xpath(payload, '//*[local-name()=\"url\"]/*[local-name()=\"loc\"]/text()')")
-    rows = payloads.select("source_id", F.posexplode(urls).alias("n", "raw"))
-    ok = t.expected_https_url(t.normalize_url(F.trim("raw")), host, prefix)
-    return rows.select("source_id", "n", ok.alias("job_url")).filter("job_url is not null").groupBy("source_id", "job_url").agg(F.min("n").alias("n")).select("source_id", "job_url", "n")
+    wanted = F.col("host") if host is None else F.lit(host)
+    ok = F.filter(F.transform(urls, lambda u: t.expected_https_url(t.normalize_url(F.trim(u)), wanted, prefix)), lambda u: u.isNotNull())
+    listed = payloads.select("source_id", F.array_distinct(ok).alias("urls"))
+    some = F.when(F.size("urls") > 0, F.col("urls")).otherwise(F.raise_error(F.lit("a sitemap has no address of a job")))
+    rows = listed.select("source_id", F.posexplode(some).alias("n", "job_url"))
+    return rows.groupBy("source_id", "job_url").agg(F.min("n").alias("n"))
+
+
+MOST_BYTES, MOST_PAGES, PAGE_ROWS = 12 * 1024 * 1024, 20, 100
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_id, company, page_no, payload) of payloads that a downloader left as ``source_id/page_no.json``; the company
+    is the source's identifier. A payload over the size limit raises, as does a source of too many pages."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(folder)
+    name = lambda k: F.regexp_extract("path", r"([^/]+)/(\d+)\.json$", k)
+    page = F.when(name(2).cast("int") < MOST_PAGES, name(2).cast("int")).otherwise(F.raise_error(F.lit(f"a feed has over {MOST_PAGES} pages")))
+    text = F.when(F.col("length") <= MOST_BYTES, F.col("content").cast("string")).otherwise(F.raise_error(F.lit(f"a payload has over {MOST_BYTES} bytes")))
+    return raw.select(F.url_decode(name(1)).alias("source_id"), F.url_decode(name(1)).alias("company"), page.alias("page_no"), text.alias("payload"))
+
+
+def page_requests(total: int, rows: int = PAGE_ROWS) -> list[int]:
+    """The offsets at which the pages of a paged feed begin."""
+    if -(-total // rows) > MOST_PAGES:
+        raise ValueError(f"a feed has over {MOST_PAGES} pages")
+    return list(range(0, total, rows))
+
+
+def dispatched(payloads: DataFrame, sources: DataFrame) -> DataFrame:
+    """Postings of all payloads, each by the adapter of its source (source_id, adapter); other sources are left out."""
+    known = payloads.join(sources.select("source_id", "adapter"), "source_id")
+    parts = [postings(known.filter(F.col("adapter") == name), name).withColumn("adapter", F.lit(name)) for name in adapters()]
+    return reduce(DataFrame.unionByName, parts)

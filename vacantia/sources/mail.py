@@ -15,11 +15,12 @@ from datetime import timezone
 from urllib.parse import unquote, urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia import schemas
+from vacantia.functions.text import PHONE
 from vacantia.functions.markup import Element, plain, tree, unescaped
 
 MOST_BYTES = 5 * 1024 * 1024
@@ -35,12 +36,38 @@ NETWORK_TITLE = {"text-color-brand", "text-system-blue-50"}
 NETWORK_META = "text-system-gray-100"
 NETWORK_JOB = re.compile(r"^/(?:comm/)?jobs/view/(\d+)/?$", re.I)
 STORE_SENDER, STORE_SUBJECT = "noreply@mail.amazon.jobs", "recommended amazon jobs for "
-STORE_JOB = re.compile(r"https?://(?:www\.)?amazon\.jobs/(?:[a-z]{2}(?:-[a-z]{2})?/)?jobs/(\d+)", re.I)
+STORE_JOB = re.compile(r"https?://(?:www\.)?amazon\.jobs/(?:(?:[a-z]{2}(?:-[a-z]{2})?)/)?jobs/(\d+)", re.I)
 JOB_ID_LINE = re.compile(r"\bjob\s*id\s*[:#-]?\s*(\d{5,12})\b", re.I)
-PLACE_LINE = re.compile(r"\b(?:ISR|Israel|USA|United States|United Kingdom|UK|Canada|Germany|India|Ireland|Spain|France|Italy|Poland|Romania|Japan|Australia)\b|^[\w .'-]+, [A-Z]{2,3}(?:, [A-Z]{2,3})?$|\+\d+\s+other locations?", re.I)
+PLACE_NAMES = ("EXL", "Exampleland", "ISR", "Israel", "USA", "United States", "United Kingdom", "UK", "Canada", "Germany", "India", "Ireland", "Spain", "France", "Italy", "Poland", "Romania", "Japan", "Australia")
+OTHER_PLACES = r"\+\d+\s+other locations?"
+LABS, LABS_COMPANY = "Annapurna Labs", "Annapurna Labs Ltd."
 NO_CARD_LINES = {"|", "read more", "apply now", "view job", "view jobs", "view all", "view all recommendations", "basic qualifications", "preferred qualifications", "sort by", "most relevant", "most recent"}
 FOOTERS = ("amazon is an equal opportunity employer", "equal opportunity", "join us on", "privacy and data", "career areas", "working at amazon")
-CONTACT = (re.compile(r"\b[\w.%+-]+@[\w.-]+\.[A-Z]{2,}\b", re.I), re.compile(r"https?://\S+", re.I), re.compile(r"(?<!\w)\+?\d[\d\s().-]{6,}\d(?!\w)"))
+PLACE_LINE = re.compile("|".join([*(rf"\b{n}\b" for n in PLACE_NAMES), OTHER_PLACES]), re.I)
+CONTACT = (re.compile(r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I), re.compile(r"https?://\S+", re.I), re.compile(PHONE))
+
+
+def decoded(messages: DataFrame, column: str = "raw", most: int = MOST_BYTES) -> DataFrame:
+    """``messages`` with ``content``, the bytes of a web-safe base64 text, and ``reason`` where there are none: no content,
+    invalid, or too large."""
+    text = F.regexp_replace(F.translate(F.coalesce(F.col(column), F.lit("")), "-_", "+/"), "=+$", "")
+    valid = text.rlike("^[A-Za-z0-9+/]+$") & (F.length(text) % 4 != 1)
+    size = F.floor(F.length(text) * 3 / 4)
+    content = F.when(valid & (size <= most), F.unbase64(F.concat(text, F.expr("repeat('=', int(pmod(-length(regexp_replace(" + f"coalesce({column}, ''), '=+$', '')), 4)))"))))
+    reason = F.when(text == "", "no content").when(~valid, "invalid content").when(size > most, "too large")
+    return messages.withColumns({"content": content, "reason": reason})
+
+
+MOST_DAYS, MOST_MESSAGES = 90, 50
+
+
+def recent(messages: DataFrame, received: str, now: Column, days: int = 14, most: int = 20) -> DataFrame:
+    """The newest messages of the last days, as a mailbox search gives them."""
+    if not 1 <= days <= MOST_DAYS:
+        raise ValueError(f"days must be 1 to {MOST_DAYS}")
+    if not 1 <= most <= MOST_MESSAGES:
+        raise ValueError(f"most must be 1 to {MOST_MESSAGES}")
+    return messages.filter((F.col(received) <= now) & (F.col(received) > now - F.expr(f"interval {days} days"))).orderBy(F.desc(received), *messages.columns).limit(most)
 
 
 def mail(raw: bytes, sender: Callable[[str], bool], subject: str = "") -> tuple[str | None, str]:
@@ -116,7 +143,8 @@ def solid_lines(text: str) -> list[str]:
 
 
 def _card(job_id: str, title: str, place: str | None, lines: list[str]) -> tuple:
-    company = next((x[:300] for x in lines if re.search(r"\bAmazon\b.*\b(?:Ltd\.?|LLC|Inc\.?)", x, re.I)), "Amazon")
+    named = re.search(rf"\b{LABS}\b", "\n".join(lines), re.I)
+    company = LABS_COMPANY if named else next((x[:300] for x in lines if re.search(r"\bAmazon\b.*\b(?:Ltd\.?|LLC|Inc\.?)", x, re.I)), "Amazon")
     kept: list[str] = []
     for x in lines:
         if x.casefold().startswith(FOOTERS):

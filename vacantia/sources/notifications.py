@@ -11,7 +11,11 @@ KEYS = ("body_lines", "group_identifier", "message_date", "protocol_version", "s
 RECORD = "type string, protocol_version int, group_identifier string, source_message_id string, message_date string, body_lines array<string>"
 ID = r"^wa_notification_[0-9a-f]{64}$"
 MOST_LINE, MOST_LINES, MOST_SENDER = 65_536, 200, 256
-DIAGNOSTIC_KEYS = ("accepted", "categories", "protocol_version", "rejected", "seen", "type")
+# The fields of diagnostic records; each later form has all fields of the forms before.
+BASIC_COUNTS = ("total_notifications", "application_identity_errors", "allowed_app_notifications", "exact_group_notifications", "accepted_notifications", "oversized_notifications")
+LATER_COUNTS = (("application_info_errors", "app_user_model_id_errors", "reconstructed_application_identities"), ("application_info_error_categories",), ("official_package_family_matches",), ("visual_inspection_errors",))
+MOST_COUNT, MOST_CATEGORIES = 1_000_000, 16
+CATEGORY = r"^[A-Za-z][A-Za-z0-9]{0,127}, HRESULT 0x[0-9A-F]{8}$"
 
 
 def checked(lines: DataFrame, group: str, column: str = "value") -> DataFrame:
@@ -48,9 +52,33 @@ def messages(lines: DataFrame, group: str, source: str = "whatsapp", column: str
     return rows.withColumns({"urls": t.visible_urls(F.col("raw_text")), "source_message_url": F.lit(None).cast("string")})
 
 
-def diagnostics(lines: DataFrame, column: str = "value", most: int = 16) -> DataFrame:
-    """Valid diagnostic records: exact fields, counters that aren't negative, at most so many categories."""
+def diagnostic_forms() -> list[list[str]]:
+    """The five sets of fields that a diagnostic record may have."""
+    forms = [["protocol_version", "type", *BASIC_COUNTS]]
+    for later in LATER_COUNTS:
+        forms.append(forms[-1] + list(later))
+    return [sorted(f) for f in forms]
+
+
+def diagnostics(lines: DataFrame, column: str = "value", category: str = CATEGORY) -> DataFrame:
+    """Every line of diagnostics with its form (1 to 5, null if it has none), its record and whether that is valid: all
+    counts whole numbers from 0 to a million, at most 16 categories with counts from 1."""
     line = F.col(column)
-    r = F.from_json(line, "type string, protocol_version int, seen int, accepted int, rejected int, categories map<string,int>")
-    rows = lines.select(F.array_sort(F.json_object_keys(line)).alias("keys"), r.alias("r")).filter(F.col("keys") == F.array(*map(F.lit, DIAGNOSTIC_KEYS))).select("r.*")
-    return rows.filter(F.expr(f"type = 'diagnostic' and protocol_version = 1 and seen >= 0 and accepted >= 0 and rejected >= 0 and size(categories) <= {most} and forall(map_values(categories), v -> v >= 0)"))
+    counts = [n for n in (*BASIC_COUNTS, *(x for later in LATER_COUNTS for x in later)) if n != "application_info_error_categories"]
+    schema = "type string, protocol_version int, " + ", ".join(f"{n} bigint" for n in counts) + ", application_info_error_categories map<string,bigint>"
+    keys = F.array_sort(F.json_object_keys(F.when(F.length(line) <= MOST_LINE, line)))
+    form = F.lit(None).cast("int")
+    for k, names in enumerate(diagnostic_forms(), 1):
+        form = F.when(keys == F.array(*map(F.lit, names)), k).otherwise(form)
+    rows = lines.select(line.alias("line"), form.alias("form"), F.from_json(line, schema).alias("r"))
+    ok = F.col("form").isNotNull() & (F.col("r.type") == "diagnostic") & (F.col("r.protocol_version") == 1)
+    for k, names in enumerate([BASIC_COUNTS, *LATER_COUNTS], 1):
+        for n in names:
+            good = F.col(f"r.{n}").between(0, MOST_COUNT) if n in counts else F.expr(f"size(r.{n}) <= {MOST_CATEGORIES} and forall(map_entries(r.{n}), e -> e.key rlike '{category}' and e.value between 1 and {MOST_COUNT})")
+            ok = ok & ((F.col("form") < k) | F.coalesce(good, F.lit(False)))
+    return rows.withColumn("valid", F.coalesce(ok, F.lit(False)))
+
+
+def diagnostic_totals(lines: DataFrame, column: str = "value") -> DataFrame:
+    """The counters of all valid diagnostic records added up."""
+    return diagnostics(lines, column).filter("valid").agg(F.count("*").alias("records"), *(F.coalesce(F.sum(f"r.{n}"), F.lit(0)).alias(n) for n in BASIC_COUNTS))

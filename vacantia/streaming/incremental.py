@@ -48,8 +48,27 @@ def bounded_catch_up(rows: DataFrame, column: str, cursor: int, limit: int, fact
     return rows.filter(F.col(column) > cursor).orderBy(column).limit(factor * limit)
 
 
-def deduplicated(spark: SparkSession, path: str, key: list[str], time: str = "ts", within: str = "3650 days") -> DataFrame:
-    """The first row of each key within a time; the state is bounded by the watermark. NTZ times are cast first."""
+def next_messages(rows: DataFrame, column: str, cursor: int | None, limit: int, factor: int = 5) -> DataFrame:
+    """What a run reads, in ascending order: at first the latest ``limit`` rows, later the oldest beyond the cursor, at most
+    ``factor`` times as many. ``safe_limit_reached`` tells that there may be more; it is false at first."""
+    if cursor is None:
+        return rows.orderBy(F.desc(column)).limit(limit).orderBy(column).withColumn("safe_limit_reached", F.lit(False))
+    batch = bounded_catch_up(rows, column, cursor, limit, factor)
+    reached = batch.agg((F.count("*") >= factor * limit).alias("safe_limit_reached"))
+    return batch.join(F.broadcast(reached), how="cross").orderBy(column)  # one row
+
+
+def emitted(seen: DataFrame | None, poll: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to emit, keys seen afterwards) of a poll: the first one only primes, later ones emit what is new, once."""
+    keys = poll.select(*key).distinct()
+    if seen is None:
+        return poll.limit(0), keys
+    return poll.dropDuplicates(key).join(seen, key, "left_anti"), seen.unionByName(keys).distinct()
+
+
+def deduplicated(spark: SparkSession, path: str, key: list[str], within: str = "7 days", time: str = "ts") -> DataFrame:
+    """The first row of each key within a time. A key is held until the watermark is ``within`` past its first row, so the
+    state is as large as the keys of that span. NTZ times are cast first."""
     stream = stream_of(spark, path).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within)
     return _landed(spark, stream.dropDuplicatesWithinWatermark(key))
 
@@ -60,17 +79,30 @@ def advance_cursor(state: DataFrame, batch: DataFrame, key: str, column: str) ->
     return state.unionByName(new).groupBy(key).agg(F.max("cursor").alias("cursor"))
 
 
-def upsert_batch(path: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A writer for ``foreachBatch``: appends versions of records by batch number; ``current`` reads the latest ones."""
+def upsert_batch(path: str, key: list[str], order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A writer for ``foreachBatch``: appends versions of records by batch number; ``current`` reads the latest ones. Of a
+    key's rows in one batch the one of the highest ``order`` counts; without an order a batch must hold each key once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("__version")))
-        latest = batch.withColumn("__version", F.monotonically_increasing_id()).withColumn("__rank", rank).filter("__rank = 1").drop("__rank", "__version")
+        if order is None:
+            n = F.count("*").over(Window.partitionBy(*key))
+            ok = F.when(F.col("__n") == 1, True).otherwise(F.raise_error(F.lit("a key occurs twice in a batch without order")).cast("boolean"))
+            latest = batch.withColumn("__n", n).filter(ok).drop("__n")
+        else:
+            rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
+            latest = batch.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
         latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def upserted(spark: SparkSession, path: str, key: list[str], order: str) -> DataFrame:
+    """The latest record of each key of a stream, written batch by batch and read back."""
+    base = f"{checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    run_once(stream_of(spark, path), upsert_batch(f"{base}/rows", key, order), f"{base}/checkpoint")
+    return current(spark, f"{base}/rows", key)
+
+
 def current(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
     rows = spark.read.parquet(path)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("batch")))

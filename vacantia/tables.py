@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,9 +17,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a folder of our own only where none is set."""
+    """The shared checkpoint folder of the session. Where none is named, local mode gets one of its own; on a cluster a
+    folder of the driver's machine would lose data, so that raises."""
     current = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         current = tempfile.mkdtemp(prefix="vacantia-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
@@ -32,10 +36,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` in as many partitions as there are cores, by hash of the keys, if it comes in fewer; else as it is.
-
-    For slow functions over inputs of one small file; anything large has more partitions than that and isn't moved.
-    """
+    """``df`` for a slow function: in ``spark.vacantia.spread`` partitions by hash of the keys where the session sets that
+    (0: as it is), else in as many as there are cores where a file gives fewer. Rows and results are the same in any case."""
+    wanted = df.sparkSession.conf.get("spark.vacantia.spread", None)
+    if wanted is not None:
+        return df.repartition(int(wanted), *keys) if int(wanted) else df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
