@@ -262,9 +262,16 @@ def scrub_contacts(text: Column) -> Column:
     return collapse(F.regexp_replace(plain, r"^\s*[•●▪*-]\s+", ""))
 
 
+def _one_array(text: Column) -> Column:
+    """Whether a text is one JSON array and nothing else: readers of JSON ignore what stands after the first value."""
+    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', "")
+    closed = F.length(F.translate(bare, "[", "")) == F.length(F.translate(bare, "]", ""))
+    return F.coalesce(bare.rlike(r"(?s)^\s*\[.*\]\s*$") & ~bare.rlike(r"\]\s*\[") & closed, F.lit(False))
+
+
 def json_objects(text: Column, schema: str) -> Column:
-    """A JSON array of objects as structs; anything else is an empty array, and so are elements that aren't objects left out."""
-    return F.coalesce(F.filter(F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, f"array<struct<{schema}>>")), lambda x: x.isNotNull()), F.array().cast(f"array<struct<{schema}>>"))
+    """A JSON array of objects as structs, elements that aren't objects left out; anything else is an empty array."""
+    return F.coalesce(F.when(_one_array(text), F.filter(F.from_json(text, f"array<struct<{schema}>>"), lambda x: x.isNotNull())), F.array().cast(f"array<struct<{schema}>>"))
 
 
 def greatest_fit(found: Column, fits: dict[str, float]) -> Column:
@@ -280,8 +287,7 @@ def missing_keys(keys: Column, required: list[str]) -> Column:
 
 def json_strings(text: Column) -> Column:
     """A JSON array as an array of texts; anything else, text after the array too, is an empty array."""
-    whole = F.try_parse_json(text).isNotNull()
-    return F.coalesce(F.when(whole, F.from_json(text, "array<string>")), F.array().cast("array<string>"))
+    return F.coalesce(F.when(_one_array(text), F.from_json(text, "array<string>")), F.array().cast("array<string>"))
 
 
 def experience_text(low: Column, high: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.plans import dates, keyed, searching, sourcing, texts
+from vacantia.plans import dates, keyed, messages, searching, sourcing, texts
 
-MODULES = [dates, searching, texts, keyed, sourcing]
+MODULES = [dates, searching, texts, keyed, sourcing, messages]
 
 
 def queries() -> dict:
