@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.plans import dates, keyed, messages, searching, sourcing, texts
+from vacantia.plans import dates, keyed, messages, pages, searching, sourcing, texts
 
-MODULES = [dates, searching, texts, keyed, sourcing, messages]
+MODULES = [dates, searching, texts, keyed, sourcing, messages, pages]
 
 
 def queries() -> dict:

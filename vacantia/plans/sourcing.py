@@ -68,20 +68,4 @@ def feed_workable(spark, d):
     return feeds.postings(_payloads(spark, d, item, "jobs"), "workable").select(*_READ)
 
 
-@query(f"SELECT DISTINCT source_id, {_normal('job_url')} AS job_url FROM public_postings WHERE job_url LIKE 'https://jobs.%'")
-def sitemap_reader(spark, d):
-    rows = read(spark, d, "public_postings").filter("job_url like 'https://jobs.%'")
-    xml = rows.select("source_id", F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.regexp_replace("job_url", "&", "&amp;"), F.lit("</loc></url></urlset>")).alias("payload"))
-    urls = F.expr("xpath(payload, '//*[local-name()=\"loc\"]/text()')")
-    return xml.select("source_id", F.explode(urls).alias("u")).select("source_id", t.normalize_url(F.col("u")).alias("job_url")).distinct()
-
-
-@query("SELECT job_id, nullif(trim(regexp_replace(page_title, '\\s+', ' ', 'g')), '') AS page_title FROM job_details WHERE page_title IS NOT NULL AND description_text IS NOT NULL")
-def html_title(spark, d):
-    rows = read(spark, d, "job_details").filter("page_title is not null and description_text is not null")
-    esc = lambda c: F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;")
-    page = F.concat(F.lit("<html><head><title>"), esc("page_title"), F.lit("</title></head><body><main><p>"), F.regexp_replace(esc("description_text"), "\n", "</p><p>"), F.lit("</p></main></body></html>"))
-    return rows.select("job_id", markup.page(page).getField("page_title").alias("page_title"))
-
-
 QUERIES, ORACLE = query.queries, query.oracle

@@ -135,14 +135,22 @@ def sitemap_urls(payloads: DataFrame, host: str | None = None, prefix: str = "/"
 MOST_BYTES, MOST_PAGES, PAGE_ROWS = 12 * 1024 * 1024, 20, 100
 
 
+def land(payloads: DataFrame, folder: str) -> None:
+    """Leaves payloads (source_id, page, value) as a downloader does: one text file a page, below its source."""
+    lined = payloads.withColumn("value", F.regexp_replace("value", r"[\r\n]+", " "))
+    lined.repartition("source_id", "page").write.partitionBy("source_id", "page").text(folder, lineSep="\n")
+
+
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, company, page_no, payload) of payloads that a downloader left as ``source_id/page_no.json``; the company
-    is the source's identifier. A payload over the size limit raises, as does a source of too many pages."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(folder)
-    name = lambda k: F.regexp_extract("path", r"([^/]+)/(\d+)\.json$", k)
-    page = F.when(name(2).cast("int") < MOST_PAGES, name(2).cast("int")).otherwise(F.raise_error(F.lit(f"a feed has over {MOST_PAGES} pages")))
-    text = F.when(F.col("length") <= MOST_BYTES, F.col("content").cast("string")).otherwise(F.raise_error(F.lit(f"a payload has over {MOST_BYTES} bytes")))
-    return raw.select(F.url_decode(name(1)).alias("source_id"), F.url_decode(name(1)).alias("company"), page.alias("page_no"), text.alias("payload"))
+    """(source_id, company, page_no, payload) of the pages that a downloader left below ``source_id=.../page=...``; the
+    company is the source's identifier. A payload over the size limit raises, as does a source of too many pages."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+    name = lambda k: F.regexp_extract("path", r"source_id=([^/]+)/page=(\d+)/[^/]*$", k)
+    page = F.when(name(2).cast("int") < MOST_PAGES, name(2).cast("int")).otherwise(F.raise_error(F.lit(f"a feed has over {MOST_PAGES} pages")).cast("int"))
+    text = F.when(F.col("length") <= MOST_BYTES, F.decode("content", "utf-8")).otherwise(F.raise_error(F.lit(f"a payload has over {MOST_BYTES} bytes")))
+    # The folder's name is escaped once by the downloader and once by the file system.
+    source = F.url_decode(F.url_decode(F.url_decode(name(1))))
+    return raw.select(source.alias("source_id"), source.alias("company"), page.alias("page_no"), text.alias("payload"))
 
 
 def page_requests(total: int, rows: int = PAGE_ROWS) -> list[int]:
