@@ -39,6 +39,32 @@ def keyed(postings: DataFrame) -> DataFrame:
     )
 
 
+def identities(jobs: DataFrame) -> DataFrame:
+    """(job_id, identity_key, kind): the address key and the position key of each job, where it has them."""
+    c = F.col
+    keys = F.array(F.struct(t.url_identity(c("job_url")).alias("identity_key"), F.lit("url").alias("kind")), F.struct(t.position_fingerprint(c("title"), c("company"), c("location")).alias("identity_key"), F.lit("position").alias("kind")))
+    return jobs.select(c("id").alias("job_id"), F.explode(keys).alias("k")).select("job_id", "k.*").filter("identity_key is not null")
+
+
+def by_address(postings: DataFrame, known: DataFrame) -> DataFrame:
+    """``postings`` with the first job of their address, of those that have one."""
+    first = known.filter("kind = 'url'").groupBy("identity_key").agg(F.min("job_id").alias("job_id"))
+    return postings.withColumn("identity_key", t.url_identity(F.col("job_url"))).join(first, "identity_key").drop("identity_key")
+
+
+def by_position(postings: DataFrame, jobs: DataFrame, key: list[str], days: int = NEAR_DAYS) -> DataFrame:
+    """(key, job_id): the first job of a posting's position that is dated at most so many days apart.
+
+    No pairs are made: the days around a posting are few, so it asks for each of them, and each (position, day) has one
+    first job."""
+    c = F.col
+    place = t.position_fingerprint(c("title"), c("company"), c("location"))
+    first = jobs.select(place.alias("k"), t.date_part(c("posted_on")).alias("day"), c("id")).filter("k is not null and day is not null").groupBy("k", "day").agg(F.min("id").alias("id"))
+    asked = postings.select(*key, place.alias("k"), t.date_part(c("posted_on")).alias("posted")).filter("k is not null and posted is not null")
+    asked = asked.select(*key, "k", F.explode(F.sequence(F.date_sub("posted", days), F.date_add("posted", days))).alias("day"))
+    return asked.join(first, ["k", "day"]).groupBy(*key).agg(F.min("id").alias("job_id"))
+
+
 def components(rows: DataFrame, keys: tuple[str, ...] = ("posting_key", "url_key", "position_key", "fallback_key"), most_rounds: int = 60) -> DataFrame:
     """(arrival_no, component): the smallest arrival number reachable over shared keys."""
     links = cut_lineage(rows.select("arrival_no", F.explode(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(k), F.lit(":"), F.col(k))) for k in keys])).alias("k")).filter("k is not null").distinct())

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vacantia.plans import dates, keyed, messages, pages, searching, sourcing, texts
+from vacantia.plans import dates, keyed, messages, pages, searching, sourcing, state, texts
 
-MODULES = [dates, searching, texts, keyed, sourcing, messages, pages]
+MODULES = [dates, searching, texts, keyed, sourcing, messages, pages, state]
 
 
 def queries() -> dict:
