@@ -4,6 +4,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia import tables as tables_module
 from vacantia.operators import identity, records, search
 from vacantia.operators.search import SearchParams
 from vacantia.streaming import incremental
@@ -120,3 +121,64 @@ def test_streams(spark, tmp_path):
         for _ in range(2):  # a repeated batch replaces itself
             write(spark.createDataFrame(rows, "k string, v int"), number)
     assert sorted(tuple(r) for r in incremental.current(spark, out, ["k"]).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_first_place_of_a_position_is_found_by_day(spark):
+    """A hot position: each posting of one feed has its own address, so each is a new job, and none scans all the others."""
+    place, state, ids = "p" * 64, identity.Replay(), set()
+    for n in range(20_000):
+        r = SimpleNamespace(arrival_no=n, source="feed", source_group="g", posted_on=f"{2000 + n % 400 // 4}-01-0{1 + n % 4}", job_url=f"u{n}", posting_key=str(n), url_key=f"k{n}", position_key=place, fallback_key="f")
+        ids.add(state.add(r)[0])
+    assert len(ids) == 20_000
+
+
+def test_lookup_of_frequent_keys(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}", 1) for k in range(4000)] + [(9000, None, 1), (9001, "unknown", 1)], "i int, k string, n int")
+    table = spark.createDataFrame([("hot", "h"), *((f"k{k}", f"v{k}") for k in range(0, 4000, 3))], "k string, v string")
+    got = {r.i: r.v for r in tables_module.lookup(rows, table, "k").collect()}
+    assert len(got) == 4002 and got[1] == "h" and got[3] == "v3" and got[9000] is None and got[9001] is None
+    assert tables_module.lookup(rows.limit(0), table, "k").count() == 0
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster():
+    away = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"), conf=SimpleNamespace(get=lambda k, d=None: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables_module.checkpoint_dir(away)
+
+
+def test_since_raises_at_dates_it_cannot_read(spark):
+    rows = spark.createDataFrame([(1, "2025-01-02T00"), (2, None), (3, ""), (4, "2024-12-31")], "i int, d string")
+    day = F.lit("2025-01-01").cast("date")
+    assert [r.i for r in records.since(rows, "d", day).collect()] == [1]
+    bad = rows.unionByName(spark.createDataFrame([(5, "02.01.2025")], "i int, d string"))
+    assert [r.i for r in records.since(bad, "d", day, strict=False).collect()] == [1]
+    with pytest.raises(Exception, match="no ISO date"):
+        records.since(bad, "d", day).collect()
+
+
+def test_runs_summaries_and_polls(spark):
+    runs = spark.createDataFrame([(1, "a", 1, 2, "error", 5, 4, 3, 2, "x" * 3000), (2, "b", 1, None, "success", 5, 4, 3, 2, None)], "run_id int, source_id string, started_at int, finished_at int, status string, postings_seen int, postings_relevant int, new_jobs int, new_postings int, error string")
+    got = {r.run_id: (r.status, r.at, r.new_jobs, len(r.error or "")) for r in records.run_states(records.run_events(runs)).collect()}
+    assert got == {1: ("error", 2, 3, 2000), 2: ("running", 1, 0, 0)}
+    with pytest.raises(Exception, match="success or error"):
+        records.run_events(runs.withColumn("status", F.lit("done"))).collect()
+    stored = spark.createDataFrame([(1, "success", "a"), (2, "no", "a"), (3, "no", "abcd")], "k int, s string, t string")
+    new = spark.createDataFrame([(k, "no", "abc") for k in (1, 2, 3, 4)], "k int, s string, t string")
+    assert sorted(tuple(r) for r in records.guarded(stored, new, "k", "s", "t", "no").collect()) == [(1, "success", "a"), (2, "no", "abc"), (3, "no", "abcd"), (4, "no", "abc")]
+    statuses = spark.createDataFrame([("a", True, "2025-01-02"), ("b", False, None)], "source_id string, enabled boolean, at string")
+    due = lambda df, at: search.refresh_due(df, F.lit(at).cast("timestamp")).first().due
+    assert not due(statuses, "2025-01-01") and due(statuses, "2025-01-03") and due(statuses.withColumn("enabled", F.lit(True)), "2025-01-01") and due(statuses.withColumn("at", F.lit("soon")), "2025-01-01") and not due(statuses.filter("not enabled"), "2025-01-03")
+    with pytest.raises(Exception, match="unknown sources: zz"):
+        search.selected_sources(statuses, ["A", "zz"]).collect()
+    assert [r.source_id for r in search.selected_sources(statuses).collect()] == ["a"] and search.selected_sources(statuses, ["B"]).count() == 1
+    assert search.requested_buckets(" all ", ("x",)) == () and search.requested_buckets("x, ,x", ("x",)) == ("x", "x")
+    with pytest.raises(ValueError, match="unknown buckets: y"):
+        search.requested_buckets("x,y", ("x",))
+
+
+def test_upsert_takes_the_highest_order_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 3, 6), ("a", 2, 7)], "k string, o int, v int")
+    incremental.upsert_batch(f"{tmp_path}/t", ["k"], "o")(rows.repartition(3), 0)
+    assert [r.v for r in incremental.current(spark, f"{tmp_path}/t", ["k"]).collect()] == [6]
+    with pytest.raises(Exception, match="twice"):
+        incremental.upsert_batch(f"{tmp_path}/u", ["k"])(rows, 0)
