@@ -3,7 +3,7 @@ import pytest
 
 from vacantia.llm import pii
 from vacantia.llm import pii_net as net
-from vacantia.llm.pii_text import pieces
+from vacantia.llm.pii_text import pieces, settle
 
 TEXT = "🔥 New position 🔥\nData Engineer\nCompany - Copper Dudolomir\nSprich mit Karin Ostvatti, Tel. +44 20 7946 0860. Send your CV to mira+jobs@post.example.net.\nMy details: Hugo Fenkiborg; 178 rue des Amsels, 19631 Hevemid; +33 1 99 00 18 03; ID number: 000-64-7164\nRef. no. 857178976\nhttps://jobs.dudolomir.example/job/1?ref=chat"
 WANT = [("Karin Ostvatti", "name"), ("+44 20 7946 0860", "phone"), ("mira+jobs@post.example.net", "email"), ("Hugo Fenkiborg", "name"), ("178 rue des Amsels, 19631 Hevemid", "address"), ("+33 1 99 00 18 03", "phone"), ("000-64-7164", "id_number")]
@@ -52,6 +52,20 @@ def test_long_text_without_breaks_is_read_whole():
     assert "mira@post.example.net" in got and any("Ostvatti" in x for x in got)
 
 
+def test_addresses_inside_of_web_addresses_and_long_ones():
+    text = "Apply: https://x.example/?contact=anna.kolvan@mail.example today\nSee https://jobs.x.example/1?ref=chat"
+    assert [text[a:b] for a, b, k in pii.Finder().find([text])[0] if k == "email"] == ["anna.kolvan@mail.example"]
+    long = "write to " + "anna." * 30 + "kolvan@mail.example today"
+    at = long.index("kolvan")
+    assert long[slice(*settle(long, at, at + 12, "email"))] == "anna." * 30 + "kolvan@mail.example"
+
+
+def test_spans_without_a_listed_form_keep_their_borders():
+    text = "Vieni in Via Garibaldi 12, 20121 Milano, oggi"
+    at = text.index("Via")
+    assert text[slice(*settle(text, at, at + 31, "address"))] == "Via Garibaldi 12, 20121 Milano" and settle("at the station", 3, 10, "address") is None
+
+
 def test_table(spark):
     posts = spark.createDataFrame([(1, TEXT, 5), (2, None, 5), (3, "", 5), (1, TEXT, 5)], "id bigint, raw_text string, start_pos int")
     messages = spark.createDataFrame([("g", "7", "~ Zoe Velmuling"), ("g", "8", "Zeti Hiring Desk")], "source_group string, source_message_id string, sender string")

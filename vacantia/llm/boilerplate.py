@@ -140,7 +140,8 @@ def own(m: dict[str, np.ndarray], rows: Rows, keep_words: np.ndarray | None = No
     of = np.concatenate([line, line[pairs], some, some, np.repeat(np.arange(n), len(SHAPES))])
     order = np.argsort(of, kind="stable")
     slots, count = slots[order], np.bincount(of, minlength=n)
-    scale = (1 / np.sqrt(np.maximum(count, 1))).astype(np.float32)
+    # Long lines count as their mean, so that no length drowns the rest.
+    scale = (1 / np.maximum(np.sqrt(np.maximum(count, 1)), count / 12)).astype(np.float32)
     total = np.add.reduceat(m["T"][slots], np.cumsum(count) - count, axis=0) if n else np.zeros((0, DIMS), np.float32)
     return total * scale[:, None], slots, count, scale
 

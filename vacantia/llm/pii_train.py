@@ -19,7 +19,11 @@ import numpy as np
 from vacantia.llm import pii_net as net
 from vacantia.llm.pii_text import FORMS, pieces
 
-MAX_WINDOWS = 40_000
+#: Bounds of the sample: texts that are read of each table, distinct windows that are labelled, and characters of a
+#: window (longer ones are cut into windows of ``WIDTH`` when they are decoded, so they need not be learned).
+MAX_SENDERS, MAX_POSTS, MAX_WINDOWS, MAX_LENGTH = 15_000, 22_000, 40_000, 400
+#: Frequent windows are repeated up to so many times, so the rows trained on are more than ``MAX_WINDOWS``.
+MOST_REPEATS = 12
 # First names, and the parts of surnames, in the test tables.
 FIRST = "Aisha Amir Anders Björn Bruno Chloé Clara Daniel Dmitri Elena Eva Farid Felix Grace Greta Hanna Hope Hugo Ines Irina Jakub Jonas José Karin Leila Leon Lukas Marek Maria Mark Mina Mira Nadia Noa Omar Oskar Otto Paula Priya Rafael Ravi Rose Selma Sofia Tamar Theo Tomas Ursula Vera Viktor Wanda Will Yael Yusuf Zoe Zoë Éloïse"
 ROOTS = "Kolva Velmu Pretzi Orlpe Hazvi Druvo Fenki Galzu Savku Karve Bezlu Jarzo Lunzo Norzi Tosvi Hovri Lemzi Marvu Morza Ostva"
@@ -75,7 +79,7 @@ def examples(texts: list[str], seed: int = 0) -> tuple[list[str], list[np.ndarra
         shaped = net.shape(text)
         for at, window in pieces(shaped, text):
             often[window] += 1
-            if window not in seen and len(window) <= 400:
+            if window not in seen and len(window) <= MAX_LENGTH:
                 tags = np.zeros(len(window), np.int64)
                 for a, b, kind in marks:
                     tags[max(0, a - at) : max(0, b - at)] = net.TAGS.index(kind)
@@ -89,7 +93,7 @@ def examples(texts: list[str], seed: int = 0) -> tuple[list[str], list[np.ndarra
         part.sort(key=lambda w: (-min(often[w], 3), len(w) > 40))
     half = MAX_WINDOWS // 2
     chosen = some[:half] + none[: MAX_WINDOWS - min(half, len(some))]
-    chosen = [w for w in chosen for _ in range(1 + min(12, int(often[w] ** 0.5)) * (often[w] > 3))]
+    chosen = [w for w in chosen for _ in range(1 + min(MOST_REPEATS, int(often[w] ** 0.5)) * (often[w] > 3))]
     rng.shuffle(chosen)
     return chosen, [seen[w] for w in chosen]
 
@@ -116,7 +120,7 @@ def main(folder: str, hidden: int = 32, epochs: int = 6) -> None:
     read = lambda t, c: [x for x in pq.read_table(f"{folder}/{t}.parquet", columns=[c])[c].to_pylist() if x]
     posts, senders = read("job_postings", "raw_text"), read("source_messages", "sender")
     random.Random(1).shuffle(posts), random.Random(2).shuffle(senders)
-    windows, tags = examples(senders[:15000] + posts[:22000])
+    windows, tags = examples(senders[:MAX_SENDERS] + posts[:MAX_POSTS])
     # Held out by window, so that no repetition of a window is on both sides.
     out = [crc32(w.encode()) % 20 == 0 for w in windows]
     print(len(windows), "windows,", sum(t.any() for t in tags), "with spans", flush=True)
