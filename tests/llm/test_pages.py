@@ -77,7 +77,8 @@ def test_frequencies_and_long_lines():
     [c] = B.line_counts([["a", "b", "a"], ["a"], []])
     assert {k: (n, t, b) for k, n, t, b in c.itertuples(index=False)} == {B.line_number("a"): (2, 0.0, 2.0), B.line_number("b"): (1, 1.0, 1.0)}
     assert B.frequent([(5, 2, 0.0, 2.0), (6, 1, 1.0, 1.0)], 2).keys() == {5}
-    assert B.outside("We plan routes " * 50_000 + ".") == []
+    lines = PAGE.split("\n")
+    assert B.outside("\n".join([*lines[:8], "You will plan routes for our customers. " * 20_000, *lines[8:]])) == [n + (n > 8) for n in B.outside(PAGE)]
     long = "© 2024 Acme Harbor Holdings International Limited, Port Alma, and all companies of its group in Pelagia and Norvania. All rights reserved."
     assert len(long) > 120 and B.outside(PAGE + "\n" + long)[-1] == PAGE.count("\n") + 2
 
