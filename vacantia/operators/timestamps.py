@@ -36,8 +36,10 @@ MONTHS = {
     12: "december dec dezember dez décembre déc decembre diciembre dic",
 }
 MONTH_NUMBER = {name: n for n, names in MONTHS.items() for name in names.split()}
-# The zone abbreviations of RFC 2822, in minutes.
+# The zone abbreviations of RFC 2822, then usual ones that mean one offset everywhere, in minutes. Ambiguous
+# ones (IST, BST, AST, SST, ...) stay unread.
 ABBREVIATIONS = {"UT": 0, "UTC": 0, "GMT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420}
+ABBREVIATIONS |= {"WET": 0, "WEST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180, "MSK": 180, "JST": 540, "KST": 540, "AEST": 600, "AEDT": 660, "AWST": 480, "NZST": 720, "NZDT": 780}
 
 _WS = "[\\s\\u00a0\\u202f]"
 _CLOCK = f"(?<h>\\d{{1,2}}):(?<mi>\\d{{2}})(?::(?<s>\\d{{2}})(?:[.,](?<f>\\d{{1,9}}))?)?(?:{_WS}*(?<ap>[AaPp])\\.?[Mm](?![A-Za-z])\\.?)?"
