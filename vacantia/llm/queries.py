@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import boilerplate, employers, layout, locations, mixing, packing, pii, residue, survivors, truncation
+from vacantia.plans.dates import READ
 from vacantia.tables import read
 
 
@@ -100,4 +101,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares, "p3_found": p3_found, "p3_rendered": p3_rendered, "p5_found": p5_found, "p10_found": p10_found, "p10_rates": p10_rates, "p1_found": p1_found, "p1_spellings": p1_spellings, "p2_found": p2_found, "p2_redacted": p2_redacted, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p7_unmatched": p7_unmatched, "p7_candidates": p7_candidates}
-ORACLE: dict[str, str] = {}
+_TITLES = ", ".join("'" + t.replace("'", "''") + "'" for t in survivors.PLACEHOLDER_TITLES)
+_P6 = f"""
+WITH {READ}, rows AS (SELECT g.group_id, g.job_id, p.id, coalesce(t.trust_rank, {survivors.UNRANKED}) AS trust, CASE WHEN isnan(p.parse_confidence) THEN NULL ELSE p.parse_confidence END AS sure, i.micros,
+regexp_matches(lower(trim(coalesce(j.title, ''))), '\\p{{L}}{{2}}') AND lower(trim(j.title)) NOT IN ({_TITLES}) AS named
+FROM (SELECT DISTINCT group_id, job_id FROM job_groups) g LEFT JOIN job_postings p ON p.job_id = g.job_id LEFT JOIN jobs j ON j.id = g.job_id LEFT JOIN (SELECT source, min(trust_rank) AS trust_rank FROM source_trust GROUP BY source) t ON t.source = p.source LEFT JOIN instants i ON i.source_table = 'job_postings' AND i.row_key = CAST(p.id AS VARCHAR)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY id IS NULL, trust, sure DESC NULLS LAST, micros DESC NULLS LAST, id) AS a, row_number() OVER (PARTITION BY group_id ORDER BY micros IS NULL, micros DESC, id) AS b, row_number() OVER (PARTITION BY group_id ORDER BY id IS NULL OR NOT named, trust, sure DESC NULLS LAST, micros DESC NULLS LAST, id) AS c FROM rows)
+SELECT group_id, coalesce(max(job_id) FILTER (c = 1 AND named AND id IS NOT NULL), 0) AS title_job_id, coalesce(max(id) FILTER (a = 1), 0) AS source_posting_id, coalesce(max(id) FILTER (b = 1 AND micros IS NOT NULL), 0) AS latest_posting_id FROM ranked GROUP BY group_id"""
+ORACLE: dict[str, str] = {"p6_found": _P6}
