@@ -16,12 +16,12 @@ from datetime import date
 from heapq import merge
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as t
 from vacantia.operators.records import PREFERRED_SOURCES
-from vacantia.tables import cut_lineage
+from vacantia.tables import cut_lineage, numbered
 
 NEAR_DAYS = 21
 OUTCOME = "arrival_no bigint, first_arrival bigint, new_job boolean, new_posting boolean, job_url string"
@@ -192,10 +192,5 @@ def resolved(postings: DataFrame, first_id: int = 1) -> DataFrame:
     rows = cut_lineage(keyed(postings))
     ordered = rows.join(components(rows), "arrival_no").repartition("component").sortWithinPartitions("component", "arrival_no")
     out = cut_lineage(ordered.mapInPandas(replay, OUTCOME))
-    # Ids without one big sort in one task: numbers within ranges, and the sizes of the ranges before.
-    first = out.filter("new_job").select("first_arrival").repartitionByRange("first_arrival").withColumn("part", F.spark_partition_id())
-    first = cut_lineage(first)
-    sizes = first.groupBy("part").agg(F.count("*").alias("n"))
-    ahead = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
-    ids = first.join(ahead, "part").select("first_arrival", (F.row_number().over(Window.partitionBy("part").orderBy("first_arrival")) + F.col("ahead") + F.lit(first_id - 1)).cast("bigint").alias("job_id"))
+    ids = numbered(out.filter("new_job").select("first_arrival"), F.col("first_arrival"), out="n").select("first_arrival", (F.col("n") + first_id).alias("job_id"))
     return out.join(ids, "first_arrival").select("arrival_no", "job_id", "new_job", "new_posting")

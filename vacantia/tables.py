@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,18 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, hot: int = 1000) -> Data
     return often.unionByName(rows.filter(~is_hot).join(table.filter(~F.col(key).isin(keys)), key, "left"))
 
 
+def numbered(df: DataFrame, *order: Column, out: str) -> DataFrame:
+    """``df``, materialised, with dense numbers from 0 in an order without ties: numbers within ranges of the order plus the
+    sizes of the ranges before, so that no task sorts everything."""
+    part, row = f"__{out}_part", f"__{out}_row"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id())
+    # The id holds the number of the partition above bit 33 and the row in it below.
+    ranged = cut_lineage(ranged.withColumns({part: F.shiftright(row, 33), row: F.col(row).bitwiseAND(F.lit(2**33 - 1))}))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("__n"))
+    ahead = sizes.select(part, (F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).alias("__ahead"))  # one row a partition
+    return ranged.join(F.broadcast(ahead), part).withColumn(out, F.col(row) + F.col("__ahead")).drop(part, row, "__ahead")
+
+
 _shipped: set[str] = set()
 
 
