@@ -10,8 +10,8 @@ gives the key of the name. Every key then writes itself as *forms*:
 
 Forms are exploded and joined by equality. A form is worth the more the rarer it is: the number of keys that write it
 decides which of several rewritings links a key, and one that several employers share (a bare invented word, an acronym)
-links nothing. Each key so gets at most one parent, never pairs; two steps (typing errors, then shortenings, the latter
-followed twice) reach the root, whose name stands for the employer.
+links nothing. Each key so gets at most one parent, never pairs; typing errors are followed to their end, then
+shortenings in two kinds, each followed twice, to the root, whose name stands for the employer.
 
 Defined results: null, blank and useless names ("n/a", "confidential") belong to no employer; names that differ only in
 case or spaces are different spellings of one; names of any length are rewritten, and forms over ``LONG`` characters stand as digests; repeated rows
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.tables import cut_lineage
+from vacantia.tables import cut_lineage, numbered
 
 # Legal forms, words of trades, their usual short forms, and remarks that aren't part of a name.
 LEGAL = {"ltd", "limited", "llc", "llp", "inc", "incorporated", "gmbh", "sa", "bv", "nv", "ag", "kg", "plc", "corp", "corporation", "co", "company", "pty", "pte", "pvt", "oy", "ab", "as", "srl", "spa", "sarl", "sas", "ug", "se", "lp"}
@@ -217,47 +217,66 @@ def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 #: Which kinds of form win, and whether the form may be shared by several keys.
 RANK = {"N": 0, "M": 1, "J": 2, "G": 3, "A": 4, "C": 5, "E": 6, "B": 7}
+#: Bits of a base's number and of the count of bases that share a form, in the choice of the best form.
+BASE_BITS, SHARED_BITS = 40, 20
 
 
 def employers(names: DataFrame) -> DataFrame:
-    """(name, employer) for a frame with one column ``name``; ``employer`` is the root key."""
+    """(name, employer) for a frame with one column ``name``; ``employer`` is the root key.
+
+    Keys are numbered by weight, of equal ones the smaller key last, so that the heaviest of several is the largest number
+    and all choices are maxima or minima of whole numbers, taken before the shuffle."""
     seen = names.filter(F.col("name").isNotNull()).groupBy("name").agg(F.count("*").alias("n"))
     # Cut twice: a filter on the key would be pushed below the count and parse every row, not every name.
-    known = cut_lineage(cut_lineage(seen).select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*")).filter(F.col("key").isNotNull())
-    # The order of words and so the acronym may differ between names of one key: all their forms count.
+    known = cut_lineage(cut_lineage(seen).select("name", "n", parsed("name").alias("p")).select("name", "n", "p.*").filter(F.col("key").isNotNull()))
     keys = known.groupBy("key").agg(F.sum("n").alias("weight"), F.first("typing").alias("typing"))
-    offers = known.select("key", F.explode("offers").alias("form")).distinct()
-    asks = known.select("key", F.explode("asks").alias("form")).distinct()
+    keys = cut_lineage(numbered(keys, F.col("weight").asc(), F.col("key").desc(), out="id"))
+    # The order of words and so the acronym may differ between names of one key: all their forms count.
+    held = cut_lineage(known.drop("typing", "n").join(keys.select("key", "id"), "key"))
+    forms_of = lambda c: held.select("id", F.explode(c).alias("form")).distinct()
+    offers, asks = cut_lineage(forms_of("offers")), cut_lineage(forms_of("asks"))
 
     # Typing errors: the heaviest key of each form is a parent of the others.
-    typing = keys.select("key", "weight", F.explode("typing").alias("form"))
-    heaviest = typing.groupBy("form").agg(F.max(F.struct("weight", F.col("key").alias("parent"))).alias("top"))
-    right = typing.join(heaviest, "form").filter((F.col("top.parent") != F.col("key")) & (F.col("top.weight") >= F.col("weight")) & (F.levenshtein("key", "top.parent") <= 2))
-    right = right.groupBy("key").agg(F.max("top")["parent"].alias("corrected"))
-    step = keys.join(right, "key", "left").select("key", "weight", F.coalesce("corrected", "key").alias("corrected"))
-    # A correction may itself have a correction: follow it once more.
-    again = right.select(F.col("key").alias("corrected"), F.col("corrected").alias("twice"))
-    step = step.join(again, "corrected", "left").select("key", "weight", F.coalesce("twice", "corrected").alias("base"))
+    typing = keys.select("id", "key", F.explode("typing").alias("form"))
+    heaviest = typing.groupBy("form").agg(F.max("id").alias("parent"))
+    pairs = typing.join(heaviest, "form").filter("parent <> id").select("id", "key", "parent").distinct()
+    right = pairs.join(keys.select(F.col("id").alias("parent"), F.col("key").alias("parent_key")), "parent").filter(F.levenshtein("key", "parent_key") <= 2)
+    right = cut_lineage(right.groupBy("id").agg(F.max("parent").alias("parent")))
+    # Corrections are followed to their end: parents are heavier than their keys, so a chain never turns back.
+    step = keys.select("id", "weight").join(right, "id", "left").select("id", "weight", F.coalesce("parent", "id").alias("base"))
+    while True:
+        further = step.join(right.select(F.col("id").alias("base"), "parent"), "base", "left").select("id", "weight", F.coalesce("parent", "base").alias("base"), F.col("parent").isNotNull().alias("moved"))
+        step = cut_lineage(further)
+        if step.filter("moved").isEmpty():
+            break
+    step = step.drop("moved")
 
     # Shortenings that keep most of a name, then those that keep one word or none: by the rarest form.
     step = _shortened(step, offers, asks, "NMJG")
     step = _shortened(step, offers, asks, "ACEB")
-    return known.select("name", "key").join(step.select("key", F.col("base").alias("employer")), "key").select("name", "employer")
+    roots = step.join(keys.select(F.col("id").alias("base"), F.col("key").alias("employer")), "base")
+    return held.select("name", "id").join(roots.select("id", "employer"), "id").select("name", "employer")
 
 
 def _shortened(step: DataFrame, offers: DataFrame, asks: DataFrame, kinds: str) -> DataFrame:
-    """``step`` (key, weight, base) with each base replaced by the longer one that its forms of these kinds find."""
+    """``step`` (id, weight, base) with each base replaced by the longer one that its forms of these kinds find."""
     kind = F.substring("form", 1, 1)
-    base_weight = step.groupBy("base").agg(F.sum("weight").alias("weight"))
-    offered = offers.filter(kind.isin(*kinds)).join(step.select("key", "base"), "key").select("form", "base").distinct().join(base_weight, "base")
-    rare = offered.groupBy("form").agg(F.count("*").alias("shared"), F.max(F.struct("weight", "base")).alias("top"))
-    asked = asks.filter(kind.isin(*kinds)).join(step.select("key", "base"), "key").select("form", F.col("base").alias("asker")).distinct()
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), kind)
-    hits = asked.join(rare, "form").filter((F.col("top.base") != F.col("asker")) & ((F.col("shared") == 1) | (kind == "N")))
-    longer = hits.groupBy("asker").agg(F.min(F.struct(rank.alias("rank"), F.col("shared"), (-F.col("top.weight")).alias("w"), F.col("top.base").alias("b")))["b"].alias("longer"))
+    bases = numbered(step.groupBy("base").agg(F.sum("weight").alias("weight")), F.col("weight").asc(), F.col("base").asc(), out="rank").select("base", "rank")
+    step = cut_lineage(step.join(bases, "base"))
+    near = step.select("id", "rank")
+    offered = offers.filter(kind.isin(*kinds)).join(near, "id").select("form", "rank").distinct()
+    rare = offered.groupBy("form").agg(F.count("*").alias("shared"), F.max("rank").alias("top"))
+    asked = asks.filter(kind.isin(*kinds)).join(near, "id").select("form", F.col("rank").alias("asker")).distinct()
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), kind).cast("bigint")
+    hits = asked.join(rare, "form").filter((F.col("top") != F.col("asker")) & ((F.col("shared") == 1) | (kind == "N")))
+    # The kind, then the rarest form, then the heaviest base, in one whole number.
+    most_bases, most_shared = F.lit(2**BASE_BITS - 1), F.lit(2**SHARED_BITS - 1)
+    best = F.shiftleft(order, BASE_BITS + SHARED_BITS) + F.shiftleft(F.least("shared", most_shared).cast("bigint"), BASE_BITS) + (most_bases - F.col("top"))
+    longer = cut_lineage(hits.groupBy("asker").agg(F.min(best).alias("best")).select("asker", (most_bases - F.col("best").bitwiseAND(most_bases)).alias("longer")))
     up = longer.select(F.col("asker").alias("longer"), F.col("longer").alias("longest"))
-    moved = step.join(longer.withColumnRenamed("asker", "base"), "base", "left").join(up, "longer", "left")
-    return cut_lineage(moved.select("key", "weight", F.coalesce("longest", "longer", "base").alias("base")))
+    moved = cut_lineage(longer.join(up, "longer", "left").select("asker", F.coalesce("longest", "longer").alias("to")))
+    target = moved.join(bases.withColumnRenamed("rank", "to"), "to").select(F.col("asker").alias("rank"), F.col("base").alias("new"))
+    return cut_lineage(step.join(target, "rank", "left").select("id", "weight", F.coalesce("new", "base").alias("base")))
 
 
 def names_of(jobs: DataFrame, normalized: DataFrame) -> DataFrame:
