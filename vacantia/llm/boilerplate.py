@@ -23,7 +23,6 @@ from __future__ import annotations
 import io
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from importlib.resources import files
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vacantia.llm import residue
-from vacantia.llm.layout import render_blocks
+from vacantia.llm.layout import MARKUP, render_blocks
 from vacantia.tables import spread
 
 MODEL = Path(__file__).with_name("boilerplate_model.npz")
@@ -57,17 +56,18 @@ def line_number(line: str) -> int:
 
 
 def line_counts(pages: Iterable[list[str]]) -> list[pd.DataFrame]:
-    """(k, n, top, bottom): on how many pages each line stands and the sums of its places, of the solid lines of pages."""
-    n, top, bottom = Counter(), Counter(), Counter()
-    for lines in pages:
-        size, seen = len(lines), set()
-        for at, line in enumerate(lines):
-            if line not in seen:
-                seen.add(line)
-                n[line] += 1
-                top[line] += min(at, FAR)
-                bottom[line] += min(size - 1 - at, FAR)
-    return [pd.DataFrame({"k": [line_number(x) for x in n], "n": list(n.values()), "top": [float(top[x]) for x in n], "bottom": [float(bottom[x]) for x in n]})]
+    """(k, n, top, bottom): on how many pages each line stands and the sums of its first places, of the solid lines of pages."""
+    number: dict[str, int] = {}
+    pages = list(pages)
+    code = np.array([number.setdefault(x, len(number)) for p in pages for x in p], np.int64)
+    size = np.fromiter(map(len, pages), np.int64, len(pages))
+    page, start = np.repeat(np.arange(len(pages)), size), np.repeat(np.cumsum(size) - size, size)
+    # The first of equal lines of a page counts.
+    first = np.unique(page * max(1, len(number)) + code, return_index=True)[1]
+    place = np.arange(len(code)) - start
+    of, top, bottom = code[first], np.minimum(place, FAR)[first], np.minimum(np.repeat(size, size) - 1 - place, FAR)[first]
+    count = lambda w=None: np.bincount(of, w, minlength=len(number))
+    return [pd.DataFrame({"k": np.fromiter(map(line_number, number), np.int64, len(number)), "n": count().astype(np.int64), "top": count(top), "bottom": count(bottom)})]
 
 
 def frequent(rows: Iterable[tuple], pages: int) -> dict[int, tuple[float, float, float, float]]:
@@ -89,7 +89,7 @@ class _Slots(dict):
 _slots = _Slots()
 
 
-_SEPARATOR, _CAPITAL, _DIGIT = re.compile(r"[|·/>›»•©–—]"), re.compile(r"(?:^|\s)[^\W\d_a-zß-öø-ÿ]"), re.compile(r"\d")
+_SEPARATOR, _DIGIT = re.compile(r"[|·/>›»•©–—]"), re.compile(r"\d")
 #: How many slots each feature of the layout has; they stand behind those of the words.
 SHAPES = (13, 13, 64, 64, 5, 5, 2, 2)
 SHAPE_AT = SLOTS + np.cumsum((0, *SHAPES[:-1]))
@@ -99,11 +99,14 @@ ALL_SLOTS = SLOTS + sum(SHAPES)
 def features(line: str) -> tuple[list[int], tuple[int, ...]]:
     """Slots of the words of a line, and its layout: words, length, last and first character, share of capitals,
     separators, sign of copyright, digits."""
-    slots = [_slots[w] for w in line.split()]
+    words = line.split()
+    slots = [_slots[w] for w in words]
     size, first, last = len(slots), line[0], line[-1]
+    capitals = sum([w[0].isupper() for w in words])
+    marks = len(_SEPARATOR.findall(line)) if _SEPARATOR.search(line) else 0
     e = 0 if last.isalpha() else 1 if last.isdigit() else 2 + ord(last) % 62
     s = 0 if first.isupper() else 1 if first.isalpha() else 2 if first.isdigit() else 3 + ord(first) % 61
-    return slots, (min(size, 12), min(len(line) // 12, 12), e, s, min(4, 4 * len(_CAPITAL.findall(line)) // size), min(len(_SEPARATOR.findall(line)), 4), int("©" in line), int(_DIGIT.search(line) is not None))
+    return slots, (min(size, 12), min(len(line) // 12, 12), e, s, 4 * capitals // size, min(marks, 4), int("©" in line), int(_DIGIT.search(line) is not None))
 
 
 class Rows:
@@ -226,7 +229,8 @@ def outside(source: str, table: dict[int, tuple] | None = None) -> list[int]:
 
 def solid_lines(source: str) -> list[str]:
     """The visible lines of a page that aren't blank, without the blanks around them."""
-    return [s for _, x in render_blocks(source)[0] if (s := x.strip())]
+    lines = source.split("\n") if not MARKUP.search(source) else [x for _, x in render_blocks(source)[0]]
+    return [s for x in lines if (s := x.strip())]
 
 
 STATISTICS = "t string, k bigint, n bigint, top double, bottom double"
@@ -238,8 +242,8 @@ def statistics(details: DataFrame) -> tuple[dict[int, tuple[float, float, float,
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            lines = line_counts(solid_lines(x) for x in rows["description_text"] if isinstance(x, str))[0]
-            yield lines.assign(t=None)[["t", "k", "n", "top", "bottom"]]
+            pages = [solid_lines(x) for x in rows["description_text"] if isinstance(x, str)]
+            yield line_counts(pages)[0].assign(t=None)[["t", "k", "n", "top", "bottom"]]
             tokens = residue.window_counts(rows["page_title"], rows["description_text"])
             yield pd.DataFrame({"t": list(tokens), "k": 0, "n": list(tokens.values()), "top": 0.0, "bottom": 0.0})
 
