@@ -132,6 +132,13 @@ def test_first_place_of_a_position_is_found_by_day(spark):
     assert len(ids) == 20_000
 
 
+def test_dense_numbers(spark):
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")).repartition(7)
+    got = tables_module.numbered(rows, F.col("x").desc(), out="n").collect()
+    assert sorted((r.x, r.n) for r in got) == [(x, 999 - x) for x in range(1000)]
+    assert tables_module.numbered(rows.limit(0), F.col("x"), out="n").count() == 0
+
+
 def test_lookup_of_frequent_keys(spark):
     rows = spark.createDataFrame([(k, "hot" if k % 3 else f"k{k}", 1) for k in range(4000)] + [(9000, None, 1), (9001, "unknown", 1)], "i int, k string, n int")
     table = spark.createDataFrame([("hot", "h"), *((f"k{k}", f"v{k}") for k in range(0, 4000, 3))], "k string, v string")

@@ -171,4 +171,10 @@ def resolved_jobs(spark, d):
     return identity.resolved(postings)
 
 
+@query("SELECT count(*) AS arrivals, count(DISTINCT (coalesce(source, ''), coalesce(source_group, ''), coalesce(source_message_id, ''))) AS new_postings FROM normalized_jobs")
+def resolution_counts(spark, d):
+    """Arrivals and, among them, postings that weren't there yet."""
+    return resolved_jobs(spark, d).agg(F.count("*").alias("arrivals"), F.count_if("new_posting").alias("new_postings"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

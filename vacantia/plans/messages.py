@@ -153,6 +153,13 @@ def live_urls(spark, d):
     return rows.select("source_group", "source_message_id", F.array_join(digests.live_urls(entities, F.col("raw_text"), button, F.col("source_message_url")), " ").alias("urls"))
 
 
+@query(f"SELECT source_group, source_message_id, list_filter(list_transform(urls, lambda u: {_normal('u')}), lambda u: regexp_full_match(u, 'https?://jobs[.]dudolomir[.]example/(postings|openings)/[0-9]+/?([?].*)?'))[1] AS url FROM (SELECT DISTINCT source_group, source_message_id, urls FROM source_messages WHERE urls IS NOT NULL)")
+def allowed_urls(spark, d):
+    """The first address of each message that is on one host and below a path."""
+    rows = read(spark, d, "source_messages").filter("urls is not null").select("source_group", "source_message_id", "urls").distinct()
+    return rows.select("source_group", "source_message_id", digests.allowed_url(F.col("urls"), "jobs.dudolomir.example", r"/(?:postings|openings)/\d+/?").alias("url"))
+
+
 @query("SELECT CASE WHEN source_group <> 'devjobs_central' THEN 'wrong group' WHEN raw_text IS NULL OR raw_text = '' OR len(string_split(raw_text, chr(10))) > 200 THEN 'no or too many lines' ELSE 'accepted' END AS outcome, count(*) AS records FROM source_messages GROUP BY 1")
 def notification_outcomes(spark, d):
     """The records of all messages, read for one group."""
