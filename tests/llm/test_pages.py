@@ -44,7 +44,7 @@ def test_rendering():
 
 
 GOOD = "Data Engineer\nYou know how ${variable} substitution works in shell scripts.\nYou keep null and undefined values out of our TypeScript code.\nYou replace lorem ipsum texts in our design system with real copy."
-BAD = ["Our office in {{company_name}} is close to the station.", "Reports to: [INSERT ROLE]", "Start date: <<city>>", "Join <insert city here> and help us grow.", "Acme is down for maintenance. We will be back at 2:00.", "502 Bad Gateway", "Sorry, Acme does not work without JavaScript enabled.", "[object Object]", "undefined", "Sit rutrum amet pretium lorem ipsum dolor turpis nulla felis.", "xxx xxx xxx xxx", "The salary for this role is @@SALARY_RANGE@@."]
+BAD = ["Our office in {{company_name}} is close to the station.", "Reports to: [INSERT ROLE]", "Start date: <<city>>", "Join <insert city here> and help us grow.", "Acme is down for maintenance. We will be back at 2:00.", "502 Bad Gateway", "Sorry, Acme does not work without JavaScript enabled.", "[object Object]", "undefined", "Sit rutrum amet pretium lorem ipsum dolor turpis nulla felis.", "xxx xxx xxx xxx", "The salary for this role is @@SALARY_RANGE@@.", "Start date: *|startDate|*", "Every Monday the team meets. [COMPANY_NAME TBC BY HR]", "Join @@job.title@@ and help us grow."]
 
 
 def test_tables(spark):

@@ -34,7 +34,8 @@ SLOT, SAME = "slotslot", "samesame"
 WINDOWS = "\u0000"
 #: Notations of placeholders that a template engine or an editor should have filled in.
 PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|\{%[^%\n]{0,60}%\}|<%[^%\n]{0,60}%>|%%\w{1,40}%%|@@\w{1,40}@@|__[A-Z][A-Z0-9_]*?__|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Z][A-Z0-9_]{2,40}%|%\(\w+\)s"
+    r"\{\{[^{}\n]{0,60}\}\}|\$\{[^{}\n]{0,60}\}|#\{[^{}\n]{0,60}\}|\{%[^%\n]{0,60}%\}|<%[^%\n]{0,60}%>|%%[\w.]{1,60}%%|@@[\w.]{1,60}@@|\*\|[^|\n]{1,60}\|\*|__[A-Z][A-Z0-9_]*?__|\[\[[^\[\]\n]{1,60}\]\]|<<[^<>\n]{1,60}>>|%[A-Z][A-Z0-9_]{2,40}%|%\(\w+\)s"
+    r"|[\[<][^\[\]<>\n]{0,40}\b(?:tbc|tbd|to be (?:confirmed|defined|announced))\b[^\[\]<>\n]{0,40}[\]>]"
     r"|[\[<](?:insert|enter|add|your|fill in|company name|job title|name|title|company|location|role|date|salary|department|team|placeholder|tbd|xxx)\b[^\[\]<>\n]{0,50}[\]>]|\{(?:[a-z]+[A-Z_][A-Za-z_]*|[A-Z][A-Z_]{2,40}|[a-z]+(?:_[a-z]+)+|name|title|company|location|role|team|salary|date)\}",
     re.I,
 )
@@ -154,7 +155,7 @@ TOKEN = re.compile(r"%s|\[object|[^\W_]+", re.I)
 
 
 #: Every placeholder has one of these characters.
-MARKS = re.compile(r"[{<%@_\[]")
+MARKS = re.compile(r"[{<%@_\[]|\*\|")
 CODES = {"403", "404", "429", "500", "502", "503", "504"}
 #: A word so often in a row, and nothing else, is one word over and over.
 OVER = 4
