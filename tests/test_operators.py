@@ -175,8 +175,8 @@ def test_runs_summaries_and_polls(spark):
     statuses = spark.createDataFrame([("a", True, "2025-01-02"), ("b", False, None)], "source_id string, enabled boolean, at string")
     due = lambda df, at: search.refresh_due(df, F.lit(at).cast("timestamp")).first().due
     assert not due(statuses, "2025-01-01") and due(statuses, "2025-01-03") and due(statuses.withColumn("enabled", F.lit(True)), "2025-01-01") and due(statuses.withColumn("at", F.lit("soon")), "2025-01-01") and not due(statuses.filter("not enabled"), "2025-01-03")
-    with pytest.raises(Exception, match="unknown sources: zz"):
-        search.selected_sources(statuses, ["A", "zz"]).collect()
+    with pytest.raises(ValueError, match="unknown sources: zz"):
+        search.selected_sources(statuses, ["A", "zz"])
     assert [r.source_id for r in search.selected_sources(statuses).collect()] == ["a"] and search.selected_sources(statuses, ["B"]).count() == 1
     assert search.requested_buckets(" all ", ("x",)) == () and search.requested_buckets("x, ,x", ("x",)) == ("x", "x")
     with pytest.raises(ValueError, match="unknown buckets: y"):

@@ -138,7 +138,9 @@ def selected_sources(registry: DataFrame, wanted: list[str] | None = None) -> Da
     """The enabled sources, or those of the given ids; an id that isn't registered raises."""
     if wanted is None:
         return registry.filter("enabled")
-    ids = F.array(*map(F.lit, sorted({w.casefold() for w in wanted})))
-    known = registry.agg(F.array_except(ids, F.collect_set(F.when(F.array_contains(ids, F.lower("source_id")), F.lower("source_id")))).alias("missing"))
-    checked = registry.filter(F.array_contains(ids, F.lower("source_id"))).join(F.broadcast(known), how="cross")  # one row
-    return checked.filter(F.when(F.size("missing") == 0, True).otherwise(F.raise_error(F.concat(F.lit("unknown sources: "), F.array_join("missing", ", "))).cast("boolean"))).drop("missing")
+    ids = sorted({w.casefold() for w in wanted})
+    chosen = registry.filter(F.lower("source_id").isin(ids))
+    known = {r[0] for r in chosen.select(F.lower("source_id")).distinct().collect()}  # no more than there are ids
+    if missing := [i for i in ids if i not in known]:
+        raise ValueError(f"unknown sources: {', '.join(missing)}")
+    return chosen

@@ -81,7 +81,8 @@ def preview(messages: DataFrame, parser: Callable[[DataFrame], DataFrame], most:
     if most < 0:
         raise ValueError("most must not be negative")
     parsed = parser(messages)
-    counts = messages.agg(F.count("*").alias("checked")).join(F.broadcast(parsed.agg(F.count("*").alias("parsed"))))  # one row each
+    both = messages.select(F.lit(1).alias("c"), F.lit(0).alias("p")).unionAll(parsed.select(F.lit(0), F.lit(1)))
+    counts = both.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("checked"), F.coalesce(F.sum("p"), F.lit(0)).alias("parsed"))
     return counts, parsed.orderBy(order, "title").limit(most).select("title", "company", "location", "posted_on", "job_url")
 
 

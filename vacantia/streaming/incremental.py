@@ -54,8 +54,7 @@ def next_messages(rows: DataFrame, column: str, cursor: int | None, limit: int,
     if cursor is None:
         return rows.orderBy(F.desc(column)).limit(limit).orderBy(column).withColumn("safe_limit_reached", F.lit(False))
     batch = bounded_catch_up(rows, column, cursor, limit, factor)
-    reached = batch.agg((F.count("*") >= factor * limit).alias("safe_limit_reached"))
-    return batch.join(F.broadcast(reached), how="cross").orderBy(column)  # one row
+    return batch.orderBy(column).withColumn("safe_limit_reached", F.lit(batch.count() >= factor * limit))
 
 
 def emitted(seen: DataFrame | None, poll: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
