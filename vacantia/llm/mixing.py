@@ -90,6 +90,6 @@ def mixed(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY
 def shares(mix: DataFrame, schedule: DataFrame) -> DataFrame:
     """Per source: target, share in the corpus, actual share of the mix, tokens, most passes used."""
     per = mix.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("pass_no").alias("passes"))
-    total = per.agg(F.sum("tokens").alias("all_tokens"))
-    rows = schedule.join(per, "source", "left").join(F.broadcast(total))  # one row
-    return rows.select("source", "target_share", F.round("corpus_share", 6).alias("corpus_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.round(F.col("tokens") / F.col("all_tokens"), 6), F.lit(0.0)).alias("actual_share"), F.coalesce(F.col("passes") + 1, F.lit(0)).alias("passes_used"), F.col("most").alias("max_repeats"))
+    total = per.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    rows = schedule.join(per, "source", "left")
+    return rows.select("source", "target_share", F.round("corpus_share", 6).alias("corpus_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.round(F.col("tokens") / F.lit(max(1, total)), 6), F.lit(0.0)).alias("actual_share"), F.coalesce(F.col("passes") + 1, F.lit(0)).alias("passes_used"), F.col("most").alias("max_repeats"))
