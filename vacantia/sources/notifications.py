@@ -70,7 +70,8 @@ def diagnostics(lines: DataFrame, column: str = "value", category: str = CATEGOR
     form = F.lit(None).cast("int")
     for k, names in enumerate(diagnostic_forms(), 1):
         form = F.when(keys == F.array(*map(F.lit, names)), k).otherwise(form)
-    rows = lines.select(line.alias("line"), form.alias("form"), F.from_json(line, schema).alias("r"))
+    # One row in, one row out: beyond a generator no filter repeats the parsing for each field it asks for.
+    rows = lines.select(line.alias("line"), F.inline(F.array(F.struct(form.alias("form"), F.from_json(line, schema).alias("r")))))
     ok = F.col("form").isNotNull() & (F.col("r.type") == "diagnostic") & (F.col("r.protocol_version") == 1)
     for k, names in enumerate([BASIC_COUNTS, *LATER_COUNTS], 1):
         for n in names:
