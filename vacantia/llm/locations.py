@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.tables import cut_lineage, lookup, spread
+from vacantia.tables import cut_lineage, lookup
 
 #: Short forms of parts of place names.
 SHORT = {"saint": ("st", "ste", "snt"), "port": ("pt", "prt"), "mount": ("mt", "mnt", "mtn"), "upper": ("upr", "uppr", "up"), "lower": ("lwr", "lr", "low"), "harbor": ("hbr", "harbour", "hrb", "hb")}
@@ -102,6 +102,16 @@ class Trie:
         best: dict[int, int] = {}
         start, letter, entries = self.start, self.letter, self.entries
         n, far = len(word), most + 1
+
+        def finish(node: int, at: int) -> None:
+            """The entries below a node whose rest is exactly the word's from ``at``: no edit is left."""
+            for c in word[at:]:
+                node = letter.find(c, start[node], start[node + 1])
+                if node < 0:
+                    return
+            for e in entries.get(node, ()):
+                best[e] = min(best.get(e, far), most)
+
         # A state is a node, its depth, the character that led to it and the last two rows, each only of the cells within
         # ``most`` of the diagonal: row[j] is the distance of the path to the first depth - most + j characters.
         width = 2 * most + 1
@@ -109,6 +119,17 @@ class Trie:
         stack = [(0, 0, "", None, first)]
         while stack:
             node, depth, last, before, row = stack.pop()
+            low = min(row)
+            if low >= most:  # all edits are used up but for a swap that the next character may complete
+                for j in range(width):
+                    if row[j] == most and 0 <= depth - most + j <= n:
+                        finish(node, depth - most + j)
+                    k = depth + 1 - most + j
+                    if before and before[j] == most - 1 and 1 < k <= n and word[k - 1] == last:
+                        child = letter.find(word[k - 2], start[node], start[node + 1])
+                        if child >= 0:
+                            finish(child, k)
+                continue
             if node in entries:
                 j = n - depth + most
                 if 0 <= j < width and row[j] <= most:
@@ -116,7 +137,7 @@ class Trie:
                         best[e] = min(best.get(e, far), row[j])
             for child in range(start[node], start[node + 1]):
                 c = letter[child]
-                new, low, k = [far] * width, far, depth + 1 - most
+                new, k = [far] * width, depth + 1 - most
                 for j in range(width):
                     if 0 <= k <= n:
                         cost = row[j + 1] + 1 if j + 1 < width else far  # the path has one character more
@@ -128,11 +149,8 @@ class Trie:
                             if before and k > 1 and word[k - 1] == last and word[k - 2] == c and (x := before[j] + 1) < cost:
                                 cost = x
                         new[j] = cost
-                        if cost < low:
-                            low = cost
                     k += 1
-                if low <= most or min(row) < most:  # the latter: the next character may complete a swap
-                    stack.append((child, depth + 1, c, row, new))
+                stack.append((child, depth + 1, c, row, new))
         return sorted((d, e) for e, d in best.items())
 
 
@@ -259,10 +277,17 @@ def resolver(index: Gazetteer):
     return resolve
 
 
+def _apart(values: DataFrame, column: str) -> DataFrame:
+    """Distinct values in as many partitions as there are cores, or more if the session shuffles into more; by number, so
+    that small ones aren't put together again before the slow search."""
+    spark = values.sparkSession
+    return values.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), column)
+
+
 def resolved(df: DataFrame, catalogue: DataFrame, column: str, out: str = "location_id") -> DataFrame:
     """``df`` with the id of the entry meant by ``column``. Each distinct value is searched once and looked up again."""
     values = df.select(F.col(column).cast("string").alias("__value")).filter("__value is not null").distinct()
-    answers = spread(values, "__value").select("__value", resolver(gazetteer(catalogue))("__value").alias(out))
+    answers = _apart(values, "__value").select("__value", resolver(gazetteer(catalogue))("__value").alias(out))
     return lookup(df.withColumn("__value", F.col(column).cast("string")), cut_lineage(answers), "__value").drop("__value")
 
 
@@ -275,7 +300,7 @@ def candidates(values: DataFrame, catalogue: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.Series([[{"distance": d, "location_id": e} for d, e in index.within(v)] for v in s])
 
-    rows = spread(values.select("value").filter(F.col("value").rlike(r"(?U)\S")).distinct(), "value")
+    rows = _apart(values.select("value").filter(F.col("value").rlike(r"(?U)\S")).distinct(), "value")
     return rows.select("value", F.explode(near("value")).alias("c")).select("value", "c.location_id", "c.distance")
 
 
