@@ -132,6 +132,42 @@ def test_first_place_of_a_position_is_found_by_day(spark):
     assert len(ids) == 20_000
 
 
+def test_first_job_of_a_position_within_reach(spark):
+    """Against all pairs: days on both sides of 1970 and of every border of spans, unreadable days, several days of one posting."""
+    from datetime import date, timedelta
+
+    random.seed(4)
+    day = lambda: random.choice(["rolling", None] + [str(date(1969, 11, 1) + timedelta(random.randrange(180))) for _ in range(20)])
+    some = lambda n: [(i, random.choice(["Dev", "dev ", "Ops", ""]), "c", random.choice(["x", None]), day()) for i in range(n)]
+    jobs, postings = some(40), [(i % 150, *r) for i, *r in some(300)]
+    asked, known = spark.createDataFrame(postings, "m int, title string, company string, location string, posted_on string"), spark.createDataFrame(jobs, "id int, title string, company string, location string, posted_on string")
+    place = lambda r: (r[1].strip().lower(), r[3])
+    dated = lambda rows: [(r[0], place(r), date.fromisoformat(r[4])) for r in rows if r[1] and r[3] and r[4] not in ("rolling", None)]
+    for days in (21, 1, 0):
+        want = {}
+        for m, k, a in dated(postings):
+            for i, other, b in dated(jobs):
+                if k == other and abs((a - b).days) <= days:
+                    want[m] = min(i, want.get(m, i))
+        got = identity.by_position(asked, known, ["m"], days).collect()
+        assert want and len(got) == len(want) and {r.m: r.job_id for r in got} == want
+
+
+def test_positions_are_not_broadcast(spark):
+    """Spark's estimate of either side is under its threshold here, far below what the side holds."""
+    row = [F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"), F.lit("c").alias("company"), F.lit("l").alias("location"), F.expr("cast(date_add(date'2025-01-01', cast(id % 300 as int)) as string)").alias("posted_on")]
+    postings, jobs = spark.range(10_000).select(F.col("id").alias("m"), *row), spark.range(20_000).select("id", *row)
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "10m", "spark.sql.maxBroadcastTableSize": "1m"}  # a larger broadcast raises
+    before = {k: spark.conf.get(k, None) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert identity.by_position(postings, jobs, ["m"]).filter("m = job_id").count() == 10_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_dense_numbers(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x")).repartition(7)
     got = tables_module.numbered(rows, F.col("x").desc(), out="n").collect()

@@ -55,14 +55,17 @@ def by_address(postings: DataFrame, known: DataFrame) -> DataFrame:
 def by_position(postings: DataFrame, jobs: DataFrame, key: list[str], days: int = NEAR_DAYS) -> DataFrame:
     """(key, job_id): the first job of a posting's position that is dated at most so many days apart.
 
-    No pairs are made: the days around a posting are few, so it asks for each of them, and each (position, day) has one
-    first job."""
-    c = F.col
+    Time is cut into spans as long as the days within reach. Each (position, day) has one first job, which stands in the
+    two spans from which it can be reached (rarely one), and a posting asks in its own span only, so postings aren't
+    multiplied. Both sides grow with the input and are estimated far too low (generated rows and decompression don't count),
+    so neither may be broadcast."""
+    c, width = F.col, 2 * days + 1
+    span = lambda n: F.floor(n / width)
     place = t.position_fingerprint(c("title"), c("company"), c("location"))
-    first = jobs.select(place.alias("k"), t.date_part(c("posted_on")).alias("day"), c("id")).filter("k is not null and day is not null").groupBy("k", "day").agg(F.min("id").alias("id"))
-    asked = postings.select(*key, place.alias("k"), t.date_part(c("posted_on")).alias("posted")).filter("k is not null and posted is not null")
-    asked = asked.select(*key, "k", F.explode(F.sequence(F.date_sub("posted", days), F.date_add("posted", days))).alias("day"))
-    return asked.join(first, ["k", "day"]).groupBy(*key).agg(F.min("id").alias("job_id"))
+    first = jobs.select(place.alias("k"), t.date_part(c("posted_on")).alias("day"), c("id")).filter("k is not null and day is not null")
+    first = first.withColumn("span", F.explode(F.sequence(span(F.unix_date("day") - days), span(F.unix_date("day") + days)))).groupBy("k", "span", "day").agg(F.min("id").alias("id"))
+    asked = postings.select(*key, place.alias("k"), t.date_part(c("posted_on")).alias("posted")).filter("k is not null and posted is not null").withColumn("span", span(F.unix_date("posted")))
+    return asked.join(first.hint("merge"), ["k", "span"]).filter(F.abs(F.datediff("posted", "day")) <= days).groupBy(*key).agg(F.min("id").alias("job_id"))
 
 
 def components(rows: DataFrame, keys: tuple[str, ...] = ("posting_key", "url_key", "position_key", "fallback_key"), most_rounds: int = 60) -> DataFrame:
